@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, content_sort, language, mixing, pieces, simhash, topk
+from . import chat, content_sort, html_text, language, lm_score, mixing, pieces, simhash, topk, toxicity
 from .common import crc_remainder, documents
 
 
@@ -45,6 +45,10 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir), crc_remainder(F.col("doc_id"), 5) == 1)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(documents(spark, sf_dir))
 
@@ -58,6 +62,17 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = crc_remainder(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    return toxicity.predict(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 100 = 0", k=10)
 
