@@ -1,11 +1,24 @@
-"""Corpus pipeline: stages that each read what the one before has written."""
+"""Corpus pipeline: language ID, exact dedup, near dedup, source mix, tokens.
+
+Each stage reads what the one before has written. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.llm import content_sort, language, mixing, pieces, simhash
+from pagewright.llm.common import crc_remainder, documents, stored
+
 
-from pagewright.llm import content_sort
-from pagewright.llm.common import documents, stored
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go: null, without a letter, or undecided between languages.
+    The languages are learned as in operator 8."""
+    learned = language.learn(docs, crc_remainder(F.col("doc_id"), 5) != 0)
+    marked = docs.withColumns({f"_in_{c}": F.col(c) for c in docs.columns})
+    got = language.predict(marked, learned, [f"_in_{c}" for c in docs.columns])
+    return got.where(~F.col("rejected")).select(*(F.col(f"_in_{c}").alias(c) for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +26,34 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return content_sort.drop_copies(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays (shingles of five words, similarity 0.8)."""
+    return simhash.drop_near_copies(docs, shingle=5, similarity=0.8)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their targets: a document as often as the mix takes its words."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their pieces."""
+    return pieces.encode(docs, docs.columns, check=False)
+
+
+STAGES = [
+    ("language ID", identify),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("source mix", mix),
+    ("sentencepiece", tokens),
+]
+#: Fingerprint buckets and merges are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

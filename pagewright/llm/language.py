@@ -40,6 +40,7 @@ LEVELS = (9, 3)
 USE = (1, 1)
 #: A best size within this share of the next is a narrow margin.
 NARROW = 0.002
+OUT = ("lang_pred", "score", "rejected")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -110,18 +111,19 @@ def _classify(dictionaries: dict[str, list[bytes]]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Classifier(dictionaries)
         for b in batches:
-            got = [own.classify(t.as_py()) for t in b.column("text")]
+            got = [own.classify(t.as_py()) for t in b.column(b.num_columns - 1)]
             lang, score, rejected = zip(*got) if got else ((), (), ())
             keep = [b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(np.array(score, float)), pa.array(rejected, pa.bool_())], names=[*b.schema.names[:-1], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(np.array(score, float)), pa.array(rejected, pa.bool_())], names=[*b.schema.names[:-1], *OUT])
 
     return run
 
 
 def predict(df: DataFrame, dictionaries: dict[str, list[bytes]], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` with lang_pred, score and rejected. The dictionaries go along with the
+    """The columns `keep` with lang_pred, score and rejected (columns of these names are not kept). The dictionaries go along with the
     tasks: 256 KB a language at most."""
     small_batches(df.sparkSession)
-    given = df.select(*keep, F.col(text_col).alias("text"))
+    keep = [c for c in keep if c not in OUT]
+    given = df.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
     return given.mapInArrow(_classify(dictionaries), f"{schema}, lang_pred string, score double, rejected boolean")

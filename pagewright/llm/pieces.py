@@ -262,6 +262,7 @@ def encode(df: DataFrame, keep: list[str], text_col: str = "text", model: str =
     small_batches(df.sparkSession, 500, 8)
     with open(model, "rb") as f:
         data = f.read()
-    given = df.select(*[k for k in keep if k != "text"], F.col(text_col).alias("text"))
+    keep = [k for k in keep if k not in ("text", "ids", "round_trip", "decoded_sha256")]
+    given = df.select(*keep, F.col(text_col).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields)
     return given.mapInArrow(_codec(data, check), f"{schema}, ids array<int>" + (", round_trip boolean, decoded_sha256 string" if check else ""))

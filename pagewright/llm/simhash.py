@@ -75,18 +75,28 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _gray_keys(words: np.ndarray) -> list[np.ndarray]:
+    """Sort keys, the first last, of fingerprints of several words, the first word highest."""
+    odd, out = np.zeros(len(words), bool), []
+    for w in words.T:
+        rank = gray_rank(w)
+        out.append(np.where(odd, ~rank, rank))
+        odd ^= (np.bitwise_count(w) & 1).astype(bool)
+    return out[::-1]
+
+
 class GrayIndex:
     """Hierarchies over groups of fingerprints; each group has a root of its own.
 
-    `group` and `fp` are parallel; each (group, fp) once.
+    `group` (n) and `words` (n, words a fingerprint) are parallel; each (group, fingerprint) once.
     """
 
-    def __init__(self, group: np.ndarray, fp: np.ndarray, fanout: int = FANOUT):
-        order = np.lexsort((gray_rank(fp), group))
-        self.order, self.fp = order, fp[order]
+    def __init__(self, group: np.ndarray, words: np.ndarray, fanout: int = FANOUT):
+        order = np.lexsort((*_gray_keys(words), group))
+        self.order, self.words = order, words[order]
         _, self.of = np.unique(group[order], return_inverse=True)
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        self.masks, self.patterns, self.spans = [np.full(len(fp), full)], [self.fp], []
+        self.masks, self.patterns, self.spans = [np.full(words.shape, full)], [self.words], []
         of = self.of
         while len(of) > (of[-1] + 1 if len(of) else 0):
             start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
@@ -94,21 +104,22 @@ class GrayIndex:
             first = np.flatnonzero(rank % fanout == 0)
             end = np.r_[first[1:], len(of)]
             mask, pattern = self.masks[-1], self.patterns[-1]
-            lead = np.repeat(pattern[first], end - first)
-            same = np.bitwise_and.reduceat(mask & ~(pattern ^ lead), first)
+            lead = np.repeat(pattern[first], end - first, 0)
+            same = np.bitwise_and.reduceat(mask & ~(pattern ^ lead), first, 0)
             self.spans.append((first, end))
             self.masks.append(same)
             self.patterns.append(pattern[first] & same)
             of = of[first]
 
-    def links(self, radius: int, step: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions (in the arrays given at the start) within `radius` bits, in blocks."""
-        n = len(self.fp)
+    def links(self, radius: int, step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of positions (in the arrays given at the start) within `radius` bits, and their
+        distances, in blocks."""
+        n = len(self.words)
         for lo in range(0, n, step):
             q = np.arange(lo, min(n, lo + step))
-            word, node = self.fp[q], self.of[q]
+            word, node = self.words[q], self.of[q]
             top = len(self.masks) - 1
-            near = np.bitwise_count((word ^ self.patterns[top][node]) & self.masks[top][node]).astype(np.int16)
+            near = np.bitwise_count((word ^ self.patterns[top][node]) & self.masks[top][node]).sum(1, dtype=np.int16)
             at = np.arange(len(q))
             for level in range(top - 1, -1, -1):
                 first, end = self.spans[level]
@@ -116,17 +127,17 @@ class GrayIndex:
                 child = np.repeat(first[node] - (np.cumsum(width) - width), width) + np.arange(width.sum())
                 at, above, near = np.repeat(at, width), np.repeat(node, width), np.repeat(near, width)
                 rest = self.masks[level][child] & ~self.masks[level + 1][above]
-                near = near + np.bitwise_count((word[at] ^ self.patterns[level][child]) & rest)
+                near = near + np.bitwise_count((word[at] ^ self.patterns[level][child]) & rest).sum(1, dtype=np.int16)
                 ok = near <= radius
                 at, node, near = at[ok], child[ok], near[ok]
             ok = q[at] < node
-            yield self.order[q[at[ok]]], self.order[node[ok]]
+            yield self.order[q[at[ok]]], self.order[node[ok]], near[ok]
 
 
-def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def forest(n: int, links: Iterator[tuple[np.ndarray, ...]]) -> np.ndarray:
     """Label of each of n nodes: the least node reachable over the links seen."""
     label = np.arange(n)
-    for a, b in links:
+    for a, b, _ in links:
         while len(a):
             x, y = label[a], label[b]
             differ = x != y
@@ -148,7 +159,7 @@ def _search(radius: int) -> Callable:
         _, group, size = np.unique(np.rec.fromarrays([pairs.f0, pairs.f1]), return_inverse=True, return_counts=True)
         several = size[group] > 1
         group, own = group[several], pairs.f2[several]
-        words = own.view(np.uint64)
+        words = own.view(np.uint64).reshape(-1, 1)
         label = forest(len(own), GrayIndex(group, words).links(radius)) if len(own) else np.zeros(0, int)
         out = label != np.arange(len(own))
         yield pa.RecordBatch.from_arrays([pa.array(own[out]), pa.array(own[label[out]])], names=["a", "b"])
@@ -208,3 +219,174 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = of.groupBy("root").agg(F.min("rep").alias("component_id")).withColumnRenamed("root", "r")
     named = of.join(least, of["root"] == least["r"]).select(F.col("fp").alias("f"), "component_id")
     return marks.join(named, marks["fp"] == named["f"]).select("doc_id", "fp", "component_id")
+
+
+# --- similarity joins: links by Jaccard similarity of word shingles
+
+#: Words of a wide fingerprint (64 bits each).
+WIDE = 4
+#: Fingerprints that an average bucket holds.
+BUCKET = 64
+#: Share of the pairs at exactly the similarity asked for that no bucket may bring together.
+MISSED = 0.03
+
+
+def _shingles(text: str | None, shingle: int) -> set[bytes]:
+    words = (text or "").encode().lower().split()
+    return set(map(b" ".join, zip(*(words[k:] for k in range(shingle))))) if len(words) >= shingle else {b" ".join(words)}
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
+    """WIDE words over the distinct shingles; their expected share of differing bits is the angle between
+    the shingle sets."""
+    grams = list(_shingles(text, shingle))
+    ones, h = np.zeros(64 * WIDE, np.int64), xxhash.xxh3_128_digest
+    for lo in range(0, len(grams), BLOCK):
+        own = b"".join([h(g, s) for g in grams[lo : lo + BLOCK] for s in range(WIDE // 2)])
+        ones += np.unpackbits(np.frombuffer(own, np.uint8).reshape(-1, 8 * WIDE), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(grams)).view("<i8")
+
+
+def differing(similarity: float) -> float:
+    """Expected share of differing bits of two sets of equal size with this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _wide(shingle: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)]).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], names=["doc_id", *(f"w{k}" for k in range(WIDE))])
+
+    return run
+
+
+def _bucket_keys(bits: np.ndarray) -> Callable:
+    """Rows by bucket: for each table the fingerprint's bits at the table's places, under the key so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.stack([b.column(f"w{k}").to_numpy() for k in range(WIDE)], 1)
+            key = b.column("key").to_numpy().view(np.uint64)
+            for t, places in enumerate(bits):
+                own = key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t + 1)
+                for p in places:
+                    own = own * np.uint64(0xD6E8FEB86659FD93) + ((words[:, p // 64] >> (p % 64)) & 1).view(np.uint64)
+                own ^= own >> np.uint64(29)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *(b.column(c) for c in b.schema.names[1:])], names=b.schema.names)
+
+    return run
+
+
+def _spanning(radius: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not got:
+            return
+        key, ids, *words = (np.concatenate(x) for x in zip(*got))
+        words = np.stack(words, 1).view(np.uint64)
+        _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+        several = size[group] > 1
+        group, ids, words = group[several], ids[several], words[several]
+        found = [x for x in GrayIndex(group, words).links(radius) if len(x[0])] if len(ids) else []
+        node, ids = np.unique(ids, return_inverse=True)
+        a, b, far = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
+        a, b = ids[a], ids[b]
+        # closest first: of a cycle the farthest link goes
+        label, keep = np.arange(len(node)), np.zeros(len(a), bool)
+        for k in np.argsort(far, kind="stable"):
+            x, y = int(a[k]), int(b[k])
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            while label[y] != y:
+                label[y] = label[label[y]]
+                y = label[y]
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                keep[k] = True
+        yield pa.RecordBatch.from_arrays([pa.array(node[a[keep]]), pa.array(node[b[keep]])], names=["a", "b"])
+
+    return run
+
+
+def _similar(similarity: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for c in ("sa", "sb"):
+                ends, flat = b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy()
+                sets.append([flat[i:j] for i, j in zip(ends, ends[1:])])
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)])
+            each = np.array([len(x) + len(y) for x, y in zip(*sets)])
+            ok = pa.array(both >= similarity * (each - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+
+    return run
+
+
+def _shingle_hashes(shingle: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(np.array([xxhash.xxh64_intdigest(g) for g in _shingles(t.as_py(), shingle)], np.uint64)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
+
+    return run
+
+
+def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class) for every document that has a near copy: classes
+    of documents linked by a Jaccard similarity of `similarity` or more over distinct word shingles.
+
+    Candidates share a bucket of at least one table of fingerprint bits; the number of bits follows
+    the number of documents and the number of tables the bits, so that a pair at exactly `similarity`
+    is missed with probability MISSED at any size, closer ones far more rarely. Buckets over GROUP are
+    dealt again by further bits, in enough tables to keep that. In a bucket the Gray-order index
+    finds the fingerprints within the expected distance and two deviations; a task sends on the
+    minimum spanning forest of what it found, and each of these links is then checked exactly.
+
+    Null ids take no part; rows that share an id are one document (the least text of them); texts
+    with fewer words than a shingle have one shingle, all their words.
+    """
+    spark = df.sparkSession
+    small_batches(spark, 1000)
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    words = [f"w{k}" for k in range(WIDE)]
+    marks = stored(docs.mapInArrow(_wide(shingle), "doc_id long, " + ", ".join(f"{w} long" for w in words)), "wide-fingerprints")
+    reps = marks.groupBy(*words).agg(F.min("doc_id").alias("doc_id")).select("doc_id", *words).dropDuplicates(["doc_id"])
+    n = marks.count()
+    share = differing(similarity)
+    radius = int(64 * WIDE * share + 2 * (64 * WIDE * share * (1 - share)) ** 0.5)
+    rng, level, links = np.random.default_rng(11), 0, None
+    keyed = reps.select(F.lit(0).cast("long").alias("key"), "doc_id", *words)
+    schema = "key long, doc_id long, " + ", ".join(f"{w} long" for w in words)
+    size = max(2, int(np.ceil(np.log2(max(2, n / BUCKET)))))
+    while True:
+        tables = int(np.ceil(np.log(MISSED) / np.log(1 - (1 - share) ** size)))
+        bits = np.array([rng.choice(64 * WIDE, size, replace=False) for _ in range(tables)])
+        keyed = keyed.mapInArrow(_bucket_keys(bits), schema)
+        large = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key"), "large-buckets")
+        none = large.isEmpty()
+        small = keyed if none else keyed.join(large, "key", "left_anti").select("key", "doc_id", *words)
+        got = small.repartition("key").mapInArrow(_spanning(radius), "a long, b long")
+        links = got if links is None else links.unionByName(got)
+        level += 1
+        if none or level > 12:
+            break
+        keyed = stored(keyed.join(large, "key", "left_semi").select("key", "doc_id", *words), "large-rows")
+        size = 3
+    same = marks.join(reps.withColumnRenamed("doc_id", "rep"), words).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = stored(links.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+    own = docs.join(ends, docs["doc_id"] == ends["e"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = stored(own.mapInArrow(_shingle_hashes(shingle), "doc_id long, s array<long>"), "shingles")
+    first, second = (sets.select(F.col("doc_id").alias(f"{k}_id"), F.col("s").alias(f"s{k}")) for k in "ab")
+    pairs = links.join(first, links["a"] == first["a_id"]).join(second, F.col("b") == second["b_id"]).select("a", "b", "sa", "sb")
+    found = components(pairs.mapInArrow(_similar(similarity), "a long, b long"))
+    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`df` with the document of the least id of each class of near copies; others are kept as they are."""
+    gone = similar_classes(df, id_col, text_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
+    return df.join(gone, df[id_col].cast("long") == F.col("_gone"), "left_anti")
