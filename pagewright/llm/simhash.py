@@ -228,7 +228,7 @@ WIDE = 4
 #: Fingerprints that an average bucket holds.
 BUCKET = 64
 #: Share of the pairs at exactly the similarity asked for that no bucket may bring together.
-MISSED = 0.03
+MISSED = 0.01
 
 
 def _shingles(text: str | None, shingle: int) -> set[bytes]:
