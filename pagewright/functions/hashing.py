@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
+from .arrow import arrow_udf
 from .text import composite_key
 
 # Fixed values of the FNV-1a hash.
@@ -31,7 +31,7 @@ def fnv1a(values: list[bytes]) -> list[str]:
     return out
 
 
-@pandas_udf("string")
+@arrow_udf("string")
 def hash64(texts: pd.Series) -> pd.Series:
     known = texts.notna()
     out = pd.Series([None] * len(texts), dtype=object)

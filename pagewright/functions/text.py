@@ -8,7 +8,6 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..constants import (
     BOLD,
@@ -26,6 +25,7 @@ from ..constants import (
     SENTENCE_END,
     WS,
 )
+from .arrow import arrow_udf
 
 TRANSFORMATIONS = "array<struct<kind:string,offset:int,before:string,after:string,source_item_ids:array<string>>>"
 
@@ -241,7 +241,7 @@ def client_key(forwarded: Column, host: Column) -> Column:
     return F.when(F.coalesce(forwarded, F.lit("")) != "", trim(F.split(forwarded, ",")[0])).otherwise(F.coalesce(host, F.lit("unknown")))
 
 
-@pandas_udf("string")
+@arrow_udf("string")
 def safe_filename(names: pd.Series) -> pd.Series:
     """A base name of plain characters; Unicode decomposition needs Python."""
     import re
@@ -254,7 +254,7 @@ def safe_filename(names: pd.Series) -> pd.Series:
     return names.map(one)
 
 
-@pandas_udf(TRANSFORMATIONS)
+@arrow_udf(TRANSFORMATIONS)
 def normalization_log(texts: pd.Series, ids: pd.Series) -> pd.Series:
     """What `normalize` changes in each item, with offsets; zero-width characters go unlogged."""
     import re

@@ -43,33 +43,40 @@ def _ends(token: Column, before: Column, after: Column) -> Column:
     return F.coalesce((tail != "") & survives & opens, F.lit(False))
 
 
-def sentence_array(text: Column) -> Column:
-    """array<string> of sentences; put together again they are `text`."""
-    tokens = F.regexp_extract_all(text, F.lit(f"(^[{WS}]+|[^{WS}]+[{WS}]*)"), F.lit(1))
-
-    def starts(token: Column, i: Column) -> Column:
-        before, earlier, after = F.get(tokens, i - 1), F.get(tokens, i - 2), token
-        bullet = matches(token, f"^[{BULLETS}][{WS}]+$")
-        return (i == 0) | ((i > 0) & (bullet | _ends(before, earlier, after)))
-
-    at = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: starts(F.get(tokens, i), i))
+def with_sentences(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """`df` with `out`, the array of the text's sentences; put together again they are the text.
+
+    Tokens and the places where sentences start are columns of their own, so that each is computed once a
+    row and not once a token.
+    """
+    tokens, at = F.col("_tokens"), F.col("_starts")
+    bullet = lambda t: matches(t, f"^[{BULLETS}][{WS}]+$")
+    # only a token with a terminator in its tail needs the rules
+    ends = lambda i: F.when(matches(F.get(tokens, i - 1), f"[{TERMINATORS}][{TERMINATORS}{CLOSERS}]*[{WS}]*$"), _ends(F.get(tokens, i - 1), F.get(tokens, i - 2), F.get(tokens, i))).otherwise(False)
+    starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: (i == 0) | bullet(F.get(tokens, i)) | ends(i))
     cut = F.transform(at, lambda s, k: F.array_join(F.slice(tokens, s + 1, F.coalesce(F.get(at, k + 1), F.size(tokens)) - s), ""))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(cut)
+    cut = F.when(F.size(tokens) > 0, cut).otherwise(F.array().cast("array<string>"))
+    given = df.withColumn("_tokens", F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"(^[{WS}]+|[^{WS}]+[{WS}]*)"), F.lit(1)))
+    marked = given.withColumn("_starts", F.when(F.size(tokens) > 0, starts).otherwise(F.array().cast("array<int>")))
+    return marked.withColumn(out, cut).drop("_tokens", "_starts")
 
 
 def sentences(paragraphs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """One row a sentence: `keys`, sentence_index, text, start, end (offsets into the paragraph)."""
-    cut = paragraphs.select(*keys, sentence_array(F.col(text_col)).alias("_all"))
+    cut = with_sentences(paragraphs.select(*keys, F.col(text_col).alias("_text")), "_text", "_all").select(*keys, "_all")
     zero = F.array(F.lit(0))
     ends = F.aggregate("_all", zero, lambda acc, s: F.concat(acc, F.array((F.element_at(acc, -1) + F.length(s)).cast("int"))))
-    rows = cut.withColumn("_at", ends).select(*keys, "_at", F.posexplode("_all").alias("sentence_index", "text"))
+    # the outer form: for the inner one the optimizer would push size(_all) > 0, spelt out, below the columns
+    rows = cut.withColumn("_at", ends).select(*keys, "_at", F.posexplode_outer("_all").alias("sentence_index", "text")).where("sentence_index is not null")
     return rows.select(*keys, "sentence_index", "text", F.get("_at", F.col("sentence_index")).alias("start"), F.get("_at", F.col("sentence_index") + 1).alias("end"))
 
 
-def assert_lossless(paragraphs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """`paragraphs`, failing where its sentences do not add up to it."""
-    whole = F.array_join(sentence_array(F.col(text_col)), "") == F.col(text_col)
-    return paragraphs.withColumn("_ok", F.assert_true(whole, F.lit("segmentation altered the text"))).drop("_ok")
+def assert_lossless(paragraphs: DataFrame, text_col: str = "text") -> DataFrame:
+    """`paragraphs` with n_sentences, failing where the sentences do not add up to the text."""
+    cut = with_sentences(paragraphs, text_col, "_all")
+    whole = F.array_join("_all", "") == F.coalesce(F.col(text_col), F.lit(""))
+    checked = F.when(F.assert_true(whole, F.lit("segmentation altered the text")).isNull(), F.size("_all"))
+    return cut.withColumn("n_sentences", checked).drop("_all")
 
 
 def join_wrapped(lines: DataFrame, keys: list[str], order: str, text_col: str = "text") -> DataFrame:
