@@ -65,7 +65,7 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ocr_corrections(words: DataFrame) -> DataFrame:
     """A correction of every fifth word in doubt."""
     fixed = words.where("confidence < 0.75 and word_index % 5 = 0")
-    return fixed.select("document_id", "page_number", "word_index", F.col("text").alias("original"), F.upper("text").alias("corrected"), F.col("word_index").cast("long").alias("corrected_at"))
+    return fixed.select("document_id", "page_number", "word_index", F.col("text").alias("original"), F.concat("text", F.lit("+")).alias("corrected"), F.col("word_index").cast("long").alias("corrected_at"))
 
 
 def ocr_pages(words: DataFrame) -> DataFrame:
