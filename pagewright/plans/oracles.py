@@ -92,22 +92,22 @@ QUEUE = """queue AS (
     CASE role WHEN 'user' THEN 'footnote' WHEN 'system' THEN 'heading' ELSE 'paragraph' END AS region_type, CAST(conv_id AS VARCHAR) || ':p' || turn // 3 AS paragraph_id, coalesce(text, '') AS text FROM conversations
 )"""
 OCR = """words AS (
-  SELECT CAST(doc_id AS VARCHAR) AS document_id, 1 AS page_number, CAST(unnest(range(len(w))) AS INTEGER) AS word_index, unnest(w) AS text, doc_id FROM (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS w FROM documents)
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, 1 AS page_number, CAST(unnest(range(len(w))) AS INTEGER) AS word_index, unnest(w) AS text, doc_id FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
 ), graded AS (
   SELECT *, (doc_id * 7 + word_index * 13) % 100 / 100.0::DOUBLE AS confidence FROM words
 ), fixes AS (
-  SELECT document_id, word_index, text || '+' AS corrected FROM graded WHERE confidence < 0.75 AND word_index % 5 = 0
+  SELECT document_id, word_index, text || '+' AS corrected FROM graded WHERE confidence < 0.4
 )"""
 BOXES = """rects AS (
   SELECT CAST(doc_id AS VARCHAR) AS document_id, 1 AS page_number, CASE WHEN doc_id % 4 = 0 THEN 'figure' ELSE 'drawing' END AS kind, 0 AS rect_index, doc_id % 50 * 4.0::DOUBLE AS x, 300.0::DOUBLE AS y, 200.0::DOUBLE AS width, 200.0::DOUBLE AS height FROM documents
-  UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 'drawing', 1, 150.0::DOUBLE, doc_id % 20 * 15.0::DOUBLE, 250.0::DOUBLE, 180.0::DOUBLE FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 'drawing', 1, 150.0::DOUBLE, doc_id % 20 * 15.0::DOUBLE, 250.0::DOUBLE, 180.0::DOUBLE FROM documents
 ), items AS (
   SELECT document_id, CAST(k AS INTEGER) AS source_index, CASE WHEN k % 5 = 0 THEN w || ' a b c' ELSE w END AS text, k * 37.0::DOUBLE + 20 AS x, 520.0::DOUBLE - k * 25 AS y FROM (
-    SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(range(len(s))) AS k, unnest(s) AS w FROM (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ')[1:12] AS s FROM documents))
+    SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(range(len(s))) AS k, unnest(s) AS w FROM (SELECT doc_id, string_split(text, ' ') AS s FROM documents))
 )"""
 _DECIDE = """CASE WHEN type NOT IN ('header', 'footer', 'page-number', 'watermark', 'reference', 'bibliography', 'index') THEN TRUE WHEN confidence >= 0.8 THEN FALSE ELSE TRUE END"""
 APPLIED = f"applied AS (SELECT *, {_DECIDE} AS included FROM regions)"
-OVERRIDDEN = "overridden AS (SELECT *, CASE WHEN reading_order % 11 = 3 THEN CASE WHEN reading_order % 2 = 0 THEN 'include' ELSE 'exclude' END END AS override, CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS pct FROM regions)"
+OVERRIDDEN = "overridden AS (SELECT *, CASE WHEN confidence = 0.9 THEN CASE WHEN type = 'footer' THEN 'include' ELSE 'exclude' END END AS override, CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS pct FROM regions)"
 BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: (instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)"
 _FNV = "lpad(lower(format('{:x}', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform({B}, lambda x: x::HUGEINT)), lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT)), 16, '0')"
 
@@ -144,7 +144,7 @@ _OVER = "{0}.x < {1}.x + {1}.width AND {0}.x + {0}.width > {1}.x AND {0}.y < {1}
 CHUNKS = f"""{QUEUE}, offs AS (
   SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY document_id, page_number ORDER BY queue_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at0 FROM queue
 ), tot AS (SELECT document_id, page_number, sum(length(text)) + count(*) - 1 AS total FROM queue GROUP BY ALL)"""
-TOP_LINES = """top AS (SELECT document_id, line_no, text, CAST(document_id AS INTEGER) + 1 AS page, 738.0::DOUBLE - 14 * line_no AS bottom FROM lines WHERE line_no < 40 AND 738.0 - 14 * line_no >= 792.0 * (1.0 - 0.1))"""
+TOP_LINES = """top AS (SELECT document_id, line_no, text, CAST(document_id AS INTEGER) + 1 AS page, 738.0::DOUBLE - 14 * (line_no % 40) AS bottom FROM lines WHERE 738.0 - 14 * (line_no % 40) >= 792.0 * (1.0 - 0.1))"""
 REPEATED = f"""{LINES}, {TOP_LINES}, cand AS (SELECT *, {signature(trim('text'))} AS signature, 792.0 - (bottom + 11) AS edge FROM top WHERE {trim('text')} <> ''),
 np AS (SELECT count(DISTINCT document_id) AS n_pages FROM lines),
 grp AS (SELECT signature, count(DISTINCT page) AS on_pages, count(*) AS n, stddev_pop(bottom) AS spread, avg(edge) AS mean_edge FROM cand GROUP BY signature HAVING count(DISTINCT page) >= 2),
@@ -209,7 +209,7 @@ UNION ALL SELECT f.document_id, f.document_id || ':para' || coalesce(min(i.sourc
 pack AS (SELECT document_id, n, id, 0 AS chunk, length(text) AS used, 0 AS s FROM q WHERE n = 1
 UNION ALL SELECT q.document_id, q.n, q.id, CASE WHEN p.used + 1 + length(q.text) > 2500 THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN p.used + 1 + length(q.text) > 2500 THEN length(q.text) ELSE p.used + 1 + length(q.text) END, CASE WHEN p.used + 1 + length(q.text) > 2500 THEN 0 ELSE p.used + 1 END FROM pack p JOIN q ON q.document_id = p.document_id AND q.n = p.n + 1)
 SELECT document_id, id AS sentence_id, CAST(chunk AS INTEGER) AS chunk_index, CAST(s AS INTEGER) AS start, CAST(s + length((SELECT text FROM q WHERE q.id = pack.id)) AS INTEGER) AS "end" FROM pack""",
-    "k_cache_misses": f"WITH {QUEUE}, k AS (SELECT *, md5(text) AS cache_key FROM queue) SELECT document_id, id, cache_key FROM k WHERE queue_index % 2 = 1 AND cache_key NOT IN (SELECT cache_key FROM k WHERE queue_index % 2 = 0)",
+    "k_cache_misses": f"WITH {QUEUE}, k AS (SELECT *, md5(text) AS cache_key FROM queue) SELECT document_id, id, cache_key FROM k WHERE region_type = 'footnote' AND cache_key NOT IN (SELECT cache_key FROM k WHERE region_type <> 'footnote')",
     "k_retained_audio": "SELECT CAST(user_id AS VARCHAR) AS session, event_id AS chunk_index, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 12 AS kept FROM events",
     "tm_sentence_estimate": f"WITH {CHUNKS} SELECT document_id, page_number AS chunk_index, id AS sentence_id, round(at0 / greatest(total, 1) * (total / 14.5::DOUBLE), 6) AS audio_start, round((at0 + length(text)) / greatest(total, 1) * (total / 14.5::DOUBLE), 6) AS audio_end FROM offs JOIN tot USING (document_id, page_number) WHERE total > 0",
     "tm_pauses": f"WITH {QUEUE} SELECT document_id, id, CAST(CASE WHEN lead(id) OVER w IS NULL THEN 0 WHEN lead(paragraph_id) OVER w = paragraph_id THEN floor(260 / 1.5 + 0.5) ELSE floor(540 / 1.5 + 0.5) END AS INTEGER) AS pause_ms FROM queue WINDOW w AS (PARTITION BY document_id ORDER BY queue_index)",
@@ -217,11 +217,11 @@ SELECT document_id, id AS sentence_id, CAST(chunk AS INTEGER) AS chunk_index, CA
     "o_low_confidence": f"WITH {OCR} SELECT document_id, page_number, CAST(count(*) FILTER (confidence < 0.75) AS INTEGER) AS n, coalesce(string_agg(CAST(word_index AS VARCHAR), ',' ORDER BY word_index) FILTER (confidence < 0.75), '') AS indexes FROM graded GROUP BY ALL",
     "o_effective_words": f"WITH {OCR} SELECT g.document_id, page_number, word_index, coalesce(corrected, text) AS text FROM graded g LEFT JOIN fixes USING (document_id, word_index)",
     "o_to_items": f"WITH {OCR} SELECT document_id, page_number, word_index AS source_index, text, 20.0::DOUBLE * word_index / 2 AS x, 732.0::DOUBLE AS y, 9.0::DOUBLE AS width, 10.0::DOUBLE AS height, 10.0::DOUBLE AS font_size FROM graded",
-    "o_summary": f"WITH {OCR} SELECT g.document_id, page_number, count(*) AS words, count(*) FILTER (confidence < 0.75 AND corrected IS NULL) AS low_confidence, count(corrected) AS corrected, FALSE AS empty, round(avg(confidence), 6) AS confidence FROM graded g LEFT JOIN fixes USING (document_id, word_index) GROUP BY ALL",
+    "o_summary": f"WITH {OCR} SELECT g.document_id, page_number, count(*) AS words, count(*) FILTER (confidence < 0.75 AND corrected IS NULL) AS low_confidence, count(corrected) AS corrected, FALSE AS empty, round(avg(confidence) + 1e-9, 6) AS confidence FROM graded g LEFT JOIN fixes USING (document_id, word_index) GROUP BY ALL",
     "o_splice": f"""WITH {LINES}, {OCR}, read AS (SELECT document_id, 1 AS page_number, 0 AS document_index, 'recognised' AS origin, string_agg(text, ' ' ORDER BY word_index) AS text FROM graded WHERE doc_id % 2 = 0 GROUP BY document_id),
 base AS (SELECT document_id, page_number, line_no AS document_index, 'layer' AS origin, text FROM lines WHERE NOT (page_number = 1 AND CAST(document_id AS BIGINT) % 2 = 0) UNION ALL SELECT * FROM read)
 SELECT document_id, page_number, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number, document_index) - 1 AS INTEGER) AS document_index, origin, text FROM base""",
-    "v_failure_report": "SELECT CAST(user_id AS VARCHAR) AS document_id, event_type AS reason, string_agg(CAST(event_id AS VARCHAR), ', ' ORDER BY event_id) AS pages, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY ALL",
+    "v_failure_report": "SELECT CAST(user_id AS VARCHAR) AS document_id, event_type AS reason, string_agg(CAST(event_id AS VARCHAR), ', ' ORDER BY event_id) AS pages, count(*) AS n FROM events GROUP BY ALL",
     "v_groups": "SELECT CAST(user_id AS VARCHAR) AS session, CASE WHEN event_id % 11 = 0 THEN 'Novelty and legacy voices' WHEN event_id % 4 IN (0, 1) THEN 'Voices for reading' ELSE 'Other languages' END AS \"group\", count(*) AS n FROM events GROUP BY ALL",
     "st_milestones": f"WITH {LINES}, pg AS (SELECT document_id, page_number, max(page_number) OVER (PARTITION BY document_id) AS n FROM (SELECT DISTINCT document_id, page_number FROM lines)) SELECT document_id, CAST(m AS INTEGER) AS pages_analyzed, page_number FROM pg JOIN (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) AS m) ON m < n AND page_number <= m",
     "st_rate_limit": """WITH RECURSIVE r AS (SELECT CAST(user_id AS VARCHAR) AS client, event_type AS bucket, event_id AS seq, epoch_us(CAST(ts AS TIMESTAMP)) / 1e6 / 3600 AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events),
@@ -231,6 +231,6 @@ FROM f JOIN r ON r.client = f.client AND r.bucket = f.bucket AND r.n = f.n + 1)
 SELECT client, bucket, seq, allowed, CAST(retry_after AS INTEGER) AS retry_after FROM f""",
     "g_body_font": f"""WITH {LINES}, {GEOMETRY}, s AS (SELECT document_id, page_number, floor(font_size * 2 + 0.5) / 2 AS b, sum(length(text)) AS w, min(line_index) AS at0 FROM geo GROUP BY ALL), f AS (SELECT document_id, page_number, font, sum(length(text)) AS w, min(line_index) AS at0 FROM geo GROUP BY ALL)
 SELECT document_id, page_number, body_size, body_font FROM (SELECT document_id, page_number, b AS body_size FROM s QUALIFY row_number() OVER (PARTITION BY document_id, page_number ORDER BY w DESC, at0) = 1) JOIN (SELECT document_id, page_number, font AS body_font FROM f QUALIFY row_number() OVER (PARTITION BY document_id, page_number ORDER BY w DESC, at0) = 1) USING (document_id, page_number)""",
-    "g_scanned_pages": f"WITH {LINES} SELECT document_id, page_number, CAST(sum(length({trim('text')})) AS BIGINT) AS text_layer_char_count, sum(length({trim('text')})) < 20 AS likely_scanned, bool_or(line_no % 17 = 16) AS reading_order_uncertain FROM lines GROUP BY ALL",
+    "g_scanned_pages": f"WITH {LINES} SELECT document_id, page_number, CAST(sum(length({trim('text')})) AS BIGINT) AS text_layer_char_count, sum(length({trim('text')})) < 20 AS likely_scanned, bool_or(length(text) > 500) AS reading_order_uncertain FROM lines GROUP BY ALL",
     "corpus_report": f"WITH {LINES}, {PIECES}, {PARAGRAPHS}, {SENTENCES} SELECT document_id, count(*) AS sentences, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(length({spoken('text')})) AS BIGINT) AS spoken_characters, CAST(sum({words_of('text')}) AS BIGINT) AS words FROM sents GROUP BY document_id",
 }

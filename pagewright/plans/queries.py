@@ -178,8 +178,8 @@ def c_arbitrate(spark, d):
 
 
 def _overrides(regions):
-    o = regions.where("reading_order % 11 = 3").select("document_id", "id", F.when(F.col("reading_order") % 2 == 0, "include").otherwise("exclude").alias("override"))
-    return o
+    """Headings are left out, page footers kept."""
+    return regions.where("confidence = 0.9").select("document_id", "id", F.when(F.col("type") == "footer", "include").otherwise("exclude").alias("override"))
 
 
 def _mode(mode: str) -> Callable:
@@ -300,7 +300,7 @@ def k_chunk_lookup(spark, d):
 @query
 def k_cache_misses(spark, d):
     q = A.conv_queue(spark, d).withColumn("cache_key", F.md5("speech_text"))
-    return chunking.cache_misses(q.where("queue_index % 2 = 1"), q.where("queue_index % 2 = 0").select("cache_key").distinct()).select("document_id", "id", "cache_key")
+    return chunking.cache_misses(q.where("region_type = 'footnote'"), q.where("region_type <> 'footnote'").select("cache_key").distinct()).select("document_id", "id", "cache_key")
 
 
 @query
@@ -386,7 +386,7 @@ def o_to_items(spark, d):
 @query
 def o_summary(spark, d):
     w = A.ocr_words(spark, d)
-    return ocr.page_summary(w, A.ocr_corrections(w), A.ocr_pages(w)).select("document_id", "page_number", "words", "low_confidence", "corrected", "empty", _r("confidence"))
+    return ocr.page_summary(w, A.ocr_corrections(w), A.ocr_pages(w)).select("document_id", "page_number", "words", "low_confidence", "corrected", "empty", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"))
 
 
 @query
@@ -425,7 +425,7 @@ def v_groups(spark, d):
 
 @query
 def v_failure_report(spark, d):
-    e = A.table(spark, d, "events").where("event_id % 10 = 0")
+    e = A.table(spark, d, "events")
     failed = e.select(F.col("user_id").cast("string").alias("document_id"), F.col("event_id").cast("int").alias("page_number"), F.col("event_type").alias("reason"))
     return voices.failures_by_reason(failed).select("document_id", "reason", "pages", "n")
 
@@ -465,8 +465,8 @@ def st_milestones(spark, d):
 def st_remap(spark, d):
     q = A.conv_queue(spark, d).withColumn("position", F.col("queue_index"))
     previous = q.select("document_id", F.concat(F.lit("old:"), "id").alias("id"), "page_number", "text", "document_index")
-    following = q.where("queue_index % 3 <> 1").withColumn("position", F.row_number().over(Window.partitionBy("document_id").orderBy("queue_index")) - 1)
-    following = following.withColumn("id", F.when(F.col("queue_index") % 3 == 2, F.concat(F.lit("old:"), "id")).otherwise(F.col("id")))
+    following = q.where("region_type <> 'footnote'").withColumn("position", F.row_number().over(Window.partitionBy("document_id").orderBy("queue_index")) - 1)
+    following = following.withColumn("id", F.when(F.col("page_number") % 2 == 0, F.concat(F.lit("old:"), "id")).otherwise(F.col("id")))
     return state.remap(previous.select("document_id", F.col("id").alias("sentence_id")), previous, following)
 
 
@@ -517,24 +517,34 @@ def g_scanned_pages(spark, d):
     rows = A.doc_lines(spark, d)
     pages = rows.select("document_id", "page_number").distinct().select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit(0).alias("rotation"))
     bands = pages.select("document_id", "page_number", F.array(F.struct(F.lit(0).alias("index"))).alias("columns"), F.lit(0.9).alias("confidence"))
-    unsure = rows.where("line_no % 17 = 16").select("document_id", "page_number", F.lit(True).alias("order_uncertain")).distinct()
+    unsure = rows.where("length(text) > 500").select("document_id", "page_number", F.lit(True).alias("order_uncertain")).distinct()
     return layout.page_metrics(rows, pages, bands, unsure).select("document_id", "page_number", "text_layer_char_count", "likely_scanned", "reading_order_uncertain")
 
 
+def _page_items(spark, d):
+    """Words of each document as positioned items, sixty a page in five rows of twelve."""
+    words = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", " ")).alias("source_index", "text"))
+    k = F.col("source_index") % 60
+    return words.select(
+        "document_id", F.floor(F.col("source_index") / 60 + 1).cast("int").alias("page_number"), "source_index", "text", F.array(*map(F.lit, layout.IDENTITY)).alias("transform"), (k % 12 * 45.0 + 20).alias("x"),
+        (F.lit(700.0) - F.floor(k / 12) * 25).alias("y"), F.lit(40.0).alias("width"), F.lit(10.0).alias("height"), F.lit("f1").alias("font_name"), F.lit(10.0).alias("font_size"), F.lit("ltr").alias("direction"),
+        F.lit(False).alias("has_eol"), F.lit(False).alias("raised"),
+    )
+
+
 @query
 def g_dedupe_items(spark, d):
-    _, items = A.boxes(spark, d)
-    twice = items.unionByName(items.where("source_index % 3 = 0").withColumns({"source_index": F.col("source_index") + 100, "x": F.col("x") + 0.5}))
-    ready = twice.select("document_id", "page_number", "source_index", "text", F.array(*map(F.lit, layout.IDENTITY)).alias("transform"), "x", "y", "width", "height", F.lit("f1").alias("font_name"), "font_size", F.lit("ltr").alias("direction"), F.lit(False).alias("has_eol"), F.lit(False).alias("raised"))
-    return layout.remove_duplicates(ready).select("document_id", "source_index", "removed")
+    items = _page_items(spark, d)
+    twice = items.unionByName(items.withColumns({"source_index": F.col("source_index") + 100000000, "x": F.col("x") + 0.5}))
+    got = layout.remove_duplicates(twice)
+    return got.groupBy("document_id", "page_number").agg(F.count_if("removed").alias("removed"), F.count_if(~F.col("removed")).alias("kept"))
 
 
 @query
 def g_lines(spark, d):
-    _, items = A.boxes(spark, d)
-    ready = items.select("document_id", "page_number", "source_index", "text", F.array(*map(F.lit, layout.IDENTITY)).alias("transform"), "x", "y", "width", "height", F.lit("f1").alias("font_name"), "font_size", F.lit("ltr").alias("direction"), F.lit(False).alias("has_eol"), F.lit(False).alias("raised"))
+    items = _page_items(spark, d)
     pages = items.select("document_id", "page_number").distinct().select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
-    return layout.lines(ready, pages).select("document_id", "line_index", "text", "x", "baseline", "font_size")
+    return layout.lines(items, pages).select("document_id", "page_number", "line_index", "text", "x", "baseline", "font_size")
 
 
 # --- flagship
