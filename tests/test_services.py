@@ -44,11 +44,13 @@ def test_names_and_hashes(spark):
 def test_projection(spark):
     got = one(spark, speech.projection(F.col("t")), t="Alpha [12] beta gamma.")
     assert got.text == "Alpha beta gamma." and got.skipped[0].text == "[12]"
-    assert one(spark, speech.display_offset(speech.projection(F.col("t"))["anchors"], F.lit(6)), t="Alpha [12] beta gamma.") == 11
+    placed = spark.createDataFrame([("Alpha [12] beta gamma.",)], "t string").withColumn("p", speech.projection(F.col("t")))
+    assert placed.select(speech.display_offset(F.col("p.anchors"), F.lit(6)).alias("v")).first().v == 11
     assert speech.project("It rose (Smith et al., 2019) fast.", [], {"skip_numeric": True, "skip_superscript": True, "read_parenthetical": False})["text"] == "It rose fast."
     assert one(spark, speech.projection(F.col("t"), strict=True), t="A [1].")["text"] == "A [1]."
     assert speech.project("• item²", [], dict(skip_numeric=True, skip_superscript=True, read_parenthetical=True))["text"] == "item"
-    parts = one(spark, speech.segments(F.col("t"), speech.projection(F.col("t"))["skipped"]), t="a [1] b (2) c")
+    said = spark.createDataFrame([("a [1] b (2) c",)], "t string").withColumn("p", speech.projection(F.col("t")))
+    parts = said.select(speech.segments(F.col("t"), F.col("p.skipped")).alias("v")).first().v
     assert "".join(p.text for p in parts) == "a [1] b (2) c" and [p.skipped for p in parts] == [False, True, False, True, False]
 
 
