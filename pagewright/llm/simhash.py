@@ -111,7 +111,7 @@ class GrayIndex:
             self.patterns.append(pattern[first] & same)
             of = of[first]
 
-    def links(self, radius: int, step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def links(self, radius: int, step: int = 192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs of positions (in the arrays given at the start) within `radius` bits, and their
         distances, in blocks."""
         n = len(self.words)
@@ -278,6 +278,26 @@ def _bucket_keys(bits: np.ndarray) -> Callable:
     return run
 
 
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of links (a, b at distance far) that make a minimum spanning forest of n nodes: closest first,
+    of a cycle the farthest goes. Links of one distance are taken in rounds: each round, every component
+    that is not the lower end of all its links takes one of them down to a lower component."""
+    label, kept = np.arange(n), []
+    for d in np.unique(far):
+        at = np.flatnonzero(far == d)
+        while len(at):
+            x, y = label[a[at]], label[b[at]]
+            at, x, y = at[x != y], x[x != y], y[x != y]
+            if not len(at):
+                break
+            high, first = np.unique(np.maximum(x, y), return_index=True)
+            kept.append(at[first])
+            label[high] = np.minimum(x, y)[first]
+            while (label != label[label]).any():
+                label = label[label]
+    return np.concatenate(kept) if kept else np.zeros(0, int)
+
+
 def _spanning(radius: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in b.columns] for b in batches]
@@ -288,24 +308,14 @@ def _spanning(radius: int) -> Callable:
         _, group, size = np.unique(key, return_inverse=True, return_counts=True)
         several = size[group] > 1
         group, ids, words = group[several], ids[several], words[several]
-        found = [x for x in GrayIndex(group, words).links(radius) if len(x[0])] if len(ids) else []
         node, ids = np.unique(ids, return_inverse=True)
-        a, b, far = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
-        a, b = ids[a], ids[b]
-        # closest first: of a cycle the farthest link goes
-        label, keep = np.arange(len(node)), np.zeros(len(a), bool)
-        for k in np.argsort(far, kind="stable"):
-            x, y = int(a[k]), int(b[k])
-            while label[x] != x:
-                label[x] = label[label[x]]
-                x = label[x]
-            while label[y] != y:
-                label[y] = label[label[y]]
-                y = label[y]
-            if x != y:
-                label[max(x, y)] = min(x, y)
-                keep[k] = True
-        yield pa.RecordBatch.from_arrays([pa.array(node[a[keep]]), pa.array(node[b[keep]])], names=["a", "b"])
+        held = [np.zeros(0, int)] * 3
+        # of the links of each block and those kept so far only a forest stays
+        for block in GrayIndex(group, words).links(radius) if len(ids) else ():
+            a, b, far = (np.concatenate(x) for x in zip(held, (ids[block[0]], ids[block[1]], block[2])))
+            keep = spanning_forest(len(node), a, b, far)
+            held = [a[keep], b[keep], far[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(node[held[0]], pa.int64()), pa.array(node[held[1]], pa.int64())], names=["a", "b"])
 
     return run
 
