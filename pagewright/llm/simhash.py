@@ -111,12 +111,14 @@ class GrayIndex:
             self.patterns.append(pattern[first] & same)
             of = of[first]
 
-    def links(self, radius: int, step: int = 192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def links(self, radius: int, pairs: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs of positions (in the arrays given at the start) within `radius` bits, and their
-        distances, in blocks."""
-        n = len(self.words)
-        for lo in range(0, n, step):
-            q = np.arange(lo, min(n, lo + step))
+        distances, in blocks whose size does not depend on that of the groups."""
+        # as many queries at a time as meet `pairs` members of their groups
+        met = np.cumsum(np.bincount(self.of)[self.of]) if len(self.of) else np.zeros(0, int)
+        cuts = np.flatnonzero(np.diff(met // pairs)) + 1
+        for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(met)].tolist()):
+            q = np.arange(lo, hi)
             word, node = self.words[q], self.of[q]
             top = len(self.masks) - 1
             near = np.bitwise_count((word ^ self.patterns[top][node]) & self.masks[top][node]).sum(1, dtype=np.int16)
@@ -227,6 +229,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 WIDE = 4
 #: Fingerprints that an average bucket holds.
 BUCKET = 64
+#: Links that a task gathers before it thins them out.
+LINKS = 1 << 20
 #: Share of the pairs at exactly the similarity asked for that no bucket may bring together.
 MISSED = 0.01
 
@@ -309,13 +313,21 @@ def _spanning(radius: int) -> Callable:
         several = size[group] > 1
         group, ids, words = group[several], ids[several], words[several]
         node, ids = np.unique(ids, return_inverse=True)
-        held = [np.zeros(0, int)] * 3
-        # of the links of each block and those kept so far only a forest stays
-        for block in GrayIndex(group, words).links(radius) if len(ids) else ():
-            a, b, far = (np.concatenate(x) for x in zip(held, (ids[block[0]], ids[block[1]], block[2])))
+        held = [(np.zeros(0, int),) * 3]
+
+        def thin() -> None:
+            a, b, far = (np.concatenate(x) for x in zip(*held))
             keep = spanning_forest(len(node), a, b, far)
-            held = [a[keep], b[keep], far[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(node[held[0]], pa.int64()), pa.array(node[held[1]], pa.int64())], names=["a", "b"])
+            held[:] = [(a[keep], b[keep], far[keep])]
+
+        for x, y, far in GrayIndex(group, words).links(radius) if len(ids) else ():
+            held.append((ids[x], ids[y], far))
+            # of many links only a forest stays, which has fewer than there are nodes
+            if sum(len(h[2]) for h in held) > LINKS + len(node):
+                thin()
+        thin()
+        a, b, _ = held[0]
+        yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["a", "b"])
 
     return run
 
