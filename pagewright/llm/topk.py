@@ -29,7 +29,9 @@ from .common import small_batches, stored
 
 SCALE = 1024
 GROUP = 4096
-BATCH = 256
+BATCH = 64
+#: Pairs whose vectors are brought together at once.
+PAIRS = 1 << 15
 SEGMENTS = (1, 4, 16)
 _OUT = "query_id long, vec_id long, score long"
 
@@ -58,6 +60,12 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x, y)
 
 
+def _pairs(x: np.ndarray, at: np.ndarray, y: np.ndarray, cand: np.ndarray) -> np.ndarray:
+    """Inner products of x[at] and y[cand], a bounded number of rows in memory at a time."""
+    parts = [_exact(x[at[lo : lo + PAIRS]], y[cand[lo : lo + PAIRS]]) for lo in range(0, len(at), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0, x.dtype)
+
+
 class Segments:
     """Index over the vectors of one group."""
 
@@ -83,7 +91,7 @@ class Segments:
                 got = np.where(np.isinf(bound[at, some.ravel()]), np.iinfo(np.int64).min, _exact(q[at], self.x[some.ravel()])).reshape(m, k)
                 bound[bound < got.min(1)[:, None]] = -np.inf
             at, cand = np.nonzero(bound > -np.inf)
-            finer = _exact(fine[at], ours[cand]) + slack[at, cand]
+            finer = _pairs(fine, at, ours, cand) + slack[at, cand]
             bound[at, cand] = np.minimum(bound[at, cand], finer)
         if n > k:
             some = np.argpartition(-bound, k - 1, 1)[:, :k]
@@ -91,7 +99,7 @@ class Segments:
             got = np.where(np.isinf(bound[at, some.ravel()]), np.iinfo(np.int64).min, _exact(q[at], self.x[some.ravel()])).reshape(m, k)
             bound[bound < got.min(1)[:, None]] = -np.inf
         at, cand = np.nonzero(bound > -np.inf)
-        score = _exact(q[at], self.x[cand])
+        score = _pairs(q, at, self.x, cand)
         order = np.lexsort((self.ids[cand], -score, at))
         at, cand, score = at[order], cand[order], score[order]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
