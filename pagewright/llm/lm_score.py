@@ -46,7 +46,7 @@ COMMON = 50_000
 #: Distinct words that a task counts before it sends them on.
 HELD = 200_000
 #: Bytes of equal-length words that a lattice handles at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 17
 END = b" "  # no word has a space
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,11 +157,14 @@ class Lattice:
             a = self._forward(arcs, m)
             b = np.full((n + 1, m), -np.inf)
             b[n] = 0
+            used, share = [], []
             for j in range(n, 0, -1):
                 for i, row, k in arcs[j]:
                     through = self.score[k] + b[j, row]
-                    np.add.at(out, self.order[k], np.exp(a[i, row] + through - a[n, row]))
+                    used.append(k)
+                    share.append(a[i, row] + through - a[n, row])
                     b[i, row] = np.logaddexp(b[i, row], through)
+            out[self.order] += np.bincount(np.concatenate(used), np.exp(np.concatenate(share)), minlength=self.n)
             out[-1] += m
         return out
 
@@ -196,10 +199,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 50_000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Small batches put together: words of equal length are worth their while by the thousand."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _expect(pieces: list[bytes], score: np.ndarray, end: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = Lattice(pieces, score, end), np.zeros(len(pieces) + 1)
-        for b in batches:
+        for b in _gathered(batches):
             total += own.expected(b.column("word").to_pylist())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["piece", "uses"])
@@ -210,7 +225,7 @@ def _expect(pieces: list[bytes], score: np.ndarray, end: float) -> Callable:
 def _measure(pieces: list[bytes], score: np.ndarray, end: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lattice(pieces, score, end)
-        for b in batches:
+        for b in _gathered(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.log_probability(b.column("word").to_pylist()))], names=["word", "c", "n", "q"])
 
     return run
@@ -271,39 +286,39 @@ _RARE = "doc_id long, mark long, held_out boolean, tokens long, known long, base
 
 
 def _split(common: dict[bytes, tuple[int, float, float]]) -> Callable:
-    """A row for each document with what its common words add up to, and one for each other word."""
+    """A row for each document with what its common words add up to, and one for each other word. The
+    former have tokens, and in place of a word what no word can be, different by document, so that the
+    join by word deals them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            ids, marks, held = (b.column(k).to_pylist() for k in ("doc_id", "mark", "held_out"))
-            for i, m, h, t in zip(ids, marks, held, b.column("text")):
+            n, words, times, counts, sums = b.num_rows, [], [], [], []
+            for t in b.column("text"):
                 tf = Counter(_words(t.as_py()))
                 tf[END] += 1
-                known, base, score, rare = 0, [], [], []
+                known, base, uses, rare = 0, [], [], []
                 for w, k in tf.items():
                     if got := common.get(w):
                         known += k if got[0] else 0
                         base.append(k * got[1])
-                        score.append(_uses(got[2], k))
+                        uses.append(_uses(got[2], k))
                     else:
-                        rare.append((i, m, h, 0, 0, 0.0, 0.0, w, k))
-                rows.append((i, m, h, sum(tf.values()), known, math.fsum(base), math.fsum(score), None, 1))
-                rows += rare
-                if len(rows) > 100_000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+                        rare.append(w)
+                sums.append((sum(tf.values()), known, math.fsum(base), math.fsum(uses)))
+                words += rare
+                times += map(tf.__getitem__, rare)
+                counts.append(len(rare))
+            if not n:
+                continue
+            at = pa.array(np.r_[np.arange(n), np.repeat(np.arange(n), counts)])
+            own = [pa.array(np.r_[np.array(c), np.zeros(len(words), type(c[0]))]) for c in zip(*sums)]
+            given = [b.column(k).take(at) for k in ("doc_id", "mark", "held_out")]
+            tf = pa.array(np.r_[np.ones(n, np.int64), np.array(times, np.int64)])
+            yield pa.RecordBatch.from_arrays([*given, *own, pa.array([b"  %d" % m for m in b.column("mark").to_pylist()] + words, pa.binary()), tf], names=[c.split()[0] for c in _RARE.split(", ")])
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _RARE.split(", ")])
-
-
 def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `df`."""
     small_batches(df.sparkSession)
@@ -320,14 +335,13 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     # words with 1/COMMON of all tokens each: COMMON at most
     common = {bytes(r.word): (r.c, r.w_base, r.w_log) for r in words.where(often).collect()}
     split = docs.select("doc_id", F.xxhash64("text").alias("mark"), "held_out", "text").mapInArrow(_split(common), _RARE)
-    # every row keeps its word, so a row without one is a document's own
     rare = words.where(~often).select(F.col("word").alias("w"), "c", "w_base", "w_log")
     near = split.join(rare, split["word"] == rare["w"], "left")
     k, balls = F.col("tf"), ALPHA * F.exp("w_log")
     again = F.when(k == 1, F.lit(0.0)).otherwise(log_gamma(balls + k) - log_gamma(balls + 1))
     uses = math.log(ALPHA) + F.col("w_log") + again
     out = near.groupBy("doc_id", "mark", "held_out").agg(
-        F.sum(F.when(F.col("word").isNull(), 1).otherwise(0)).alias("copies"),
+        F.sum(F.when(F.col("tokens") > 0, 1).otherwise(0)).alias("copies"),
         F.sum("tokens").alias("tokens"),
         F.sum(F.col("known") + F.when(F.col("c") > 0, k).otherwise(0)).alias("known"),
         F.sum(F.col("base") + F.coalesce(k * F.col("w_base"), F.lit(0.0))).alias("base"),
