@@ -111,14 +111,17 @@ class GrayIndex:
             self.patterns.append(pattern[first] & same)
             of = of[first]
 
-    def links(self, radius: int, pairs: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def links(self, radius: int, pairs: int = 1 << 18, ask: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs of positions (in the arrays given at the start) within `radius` bits, and their
-        distances, in blocks whose size does not depend on that of the groups."""
+        distances, in blocks whose size does not depend on that of the groups; with `ask` (a flag a
+        position) only pairs with a flag at one end or both."""
+        asks = np.ones(len(self.of), bool) if ask is None else ask[self.order]
+        queries = np.flatnonzero(asks)
         # as many queries at a time as meet `pairs` members of their groups
-        met = np.cumsum(np.bincount(self.of)[self.of]) if len(self.of) else np.zeros(0, int)
+        met = np.cumsum(np.bincount(self.of)[self.of][queries]) if len(self.of) else np.zeros(0, int)
         cuts = np.flatnonzero(np.diff(met // pairs)) + 1
         for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(met)].tolist()):
-            q = np.arange(lo, hi)
+            q = queries[lo:hi]
             word, node = self.words[q], self.of[q]
             top = len(self.masks) - 1
             near = np.bitwise_count((word ^ self.patterns[top][node]) & self.masks[top][node]).sum(1, dtype=np.int16)
@@ -132,7 +135,7 @@ class GrayIndex:
                 near = near + np.bitwise_count((word[at] ^ self.patterns[level][child]) & rest).sum(1, dtype=np.int16)
                 ok = near <= radius
                 at, node, near = at[ok], child[ok], near[ok]
-            ok = q[at] < node
+            ok = (q[at] < node) | ~asks[node]
             yield self.order[q[at[ok]]], self.order[node[ok]], near[ok]
 
 
@@ -229,6 +232,9 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 WIDE = 4
 #: Fingerprints that an average bucket holds.
 BUCKET = 64
+WORDS = [f"w{k}" for k in range(WIDE)]
+#: Tables whose links are checked first, so that a family of copies is one class when the others are searched.
+FIRST = 4
 #: Links that a task gathers before it thins them out.
 LINKS = 1 << 20
 #: Share of the pairs at exactly the similarity asked for that no bucket may bring together.
@@ -244,11 +250,18 @@ def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
     """WIDE words over the distinct shingles; their expected share of differing bits is the angle between
     the shingle sets."""
     grams = list(_shingles(text, shingle))
-    ones, h = np.zeros(64 * WIDE, np.int64), xxhash.xxh3_128_digest
+    return _sketch(grams)[0]
+
+
+def _sketch(grams: list[bytes]) -> tuple[np.ndarray, int]:
+    """The wide fingerprint of distinct shingles, and a sum of their hashes that tells sets apart."""
+    ones, h, total = np.zeros(64 * WIDE, np.int64), xxhash.xxh3_128_digest, np.uint64(0)
     for lo in range(0, len(grams), BLOCK):
         own = b"".join([h(g, s) for g in grams[lo : lo + BLOCK] for s in range(WIDE // 2)])
-        ones += np.unpackbits(np.frombuffer(own, np.uint8).reshape(-1, 8 * WIDE), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(grams)).view("<i8")
+        own = np.frombuffer(own, np.uint8).reshape(-1, 8 * WIDE)
+        ones += np.unpackbits(own, axis=1).sum(0, dtype=np.int64)
+        total += own.view("<u8")[:, 0].sum(dtype=np.uint64)
+    return np.packbits(2 * ones > len(grams)).view("<i8"), int(total.view(np.int64))
 
 
 def differing(similarity: float) -> float:
@@ -259,25 +272,28 @@ def differing(similarity: float) -> float:
 def _wide(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)]).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], names=["doc_id", *(f"w{k}" for k in range(WIDE))])
+            grams = [list(_shingles(t.as_py(), shingle)) for t in b.column(1)]
+            got = [_sketch(g) for g in grams]
+            words = np.array([w for w, _ in got]).reshape(-1, WIDE)
+            columns = [pa.array([t for _, t in got], pa.int64()), pa.array([len(g) for g in grams], pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in words.T), *columns], names=["doc_id", *WORDS, "total", "n"])
 
     return run
 
 
 def _bucket_keys(bits: np.ndarray) -> Callable:
-    """Rows by bucket: for each table the fingerprint's bits at the table's places, under the key so far."""
+    """Rows by bucket: for each table its number and a key of the fingerprint's bits at the table's places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = np.stack([b.column(f"w{k}").to_numpy() for k in range(WIDE)], 1)
-            key = b.column("key").to_numpy().view(np.uint64)
+            words = np.stack([b.column(w).to_numpy() for w in WORDS], 1)
             for t, places in enumerate(bits):
-                own = key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t + 1)
+                own = np.full(len(words), t + 1, np.uint64)
                 for p in places:
                     own = own * np.uint64(0xD6E8FEB86659FD93) + ((words[:, p // 64] >> (p % 64)) & 1).view(np.uint64)
                 own ^= own >> np.uint64(29)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *(b.column(c) for c in b.schema.names[1:])], names=b.schema.names)
+                table = pa.array(np.full(len(words), t, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), table, *b.columns], names=["key", "t", *b.schema.names])
 
     return run
 
@@ -302,32 +318,54 @@ def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np
     return np.concatenate(kept) if kept else np.zeros(0, int)
 
 
-def _spanning(radius: int) -> Callable:
+def _candidates(radius: int, similarity: float, bits: np.ndarray, thin: bool) -> Callable:
+    """Pairs of a bucket within `radius` bits whose labels differ, each from the first table that brings it
+    together: all of them, or with `thin` a minimum spanning forest a task."""
+    masks = np.zeros((len(bits), WIDE), np.uint64)
+    for t, places in enumerate(bits):
+        for p in places:
+            masks[t, p // 64] |= np.uint64(1) << np.uint64(p % 64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in b.columns] for b in batches]
         if not got:
             return
-        key, ids, *words = (np.concatenate(x) for x in zip(*got))
+        key, table, ids, label, n, *words = (np.concatenate(x) for x in zip(*got))
         words = np.stack(words, 1).view(np.uint64)
         _, group, size = np.unique(key, return_inverse=True, return_counts=True)
-        several = size[group] > 1
-        group, ids, words = group[several], ids[several], words[several]
-        node, ids = np.unique(ids, return_inverse=True)
+        # only rows that do not have the most common label of their bucket ask: of two labels one does
+        _, first, which, count = np.unique(np.rec.fromarrays([group, label]), return_index=True, return_inverse=True, return_counts=True)
+        most = np.lexsort((count, group[first]))
+        most = most[np.r_[group[first][most][1:] != group[first][most][:-1], True]] if len(most) else most
+        ask = ~np.isin(which, most)
+        several = (np.bincount(group, ask, len(size)) > 0)[group]
+        group, table, ids, label, n, words, ask = (x[several] for x in (group, table, ids, label, n, words, ask))
+        node, place = np.unique(ids, return_inverse=True)
         held = [(np.zeros(0, int),) * 3]
 
-        def thin() -> None:
+        def thinned() -> None:
             a, b, far = (np.concatenate(x) for x in zip(*held))
             keep = spanning_forest(len(node), a, b, far)
             held[:] = [(a[keep], b[keep], far[keep])]
 
-        for x, y, far in GrayIndex(group, words).links(radius) if len(ids) else ():
-            held.append((ids[x], ids[y], far))
-            # of many links only a forest stays, which has fewer than there are nodes
-            if sum(len(h[2]) for h in held) > LINKS + len(node):
-                thin()
-        thin()
-        a, b, _ = held[0]
-        yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["a", "b"])
+        for x, y, far in GrayIndex(group, words).links(radius, ask=ask) if len(ids) else ():
+            ok = (label[x] != label[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
+            x, y, far = x[ok], y[ok], far[ok]
+            differ, new = words[x] ^ words[y], np.ones(len(x), bool)
+            for t in range(int(table[x].max(initial=0))):
+                new &= (table[x] <= t) | ((differ & masks[t]) != 0).any(1)
+            x, y, far = x[new], y[new], far[new]
+            if thin:
+                held.append((place[x], place[y], far))
+                # of many links only a forest stays, which has fewer than there are nodes
+                if sum(len(h[2]) for h in held) > LINKS + len(node):
+                    thinned()
+            elif len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
+        if thin:
+            thinned()
+            a, b, _ = held[0]
+            yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -362,10 +400,10 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Candidates share a bucket of at least one table of fingerprint bits; the number of bits follows
     the number of documents and the number of tables the bits, so that a pair at exactly `similarity`
-    is missed with probability MISSED at any size, closer ones far more rarely. Buckets over GROUP are
-    dealt again by further bits, in enough tables to keep that. In a bucket the Gray-order index
-    finds the fingerprints within the expected distance and two deviations; a task sends on the
-    minimum spanning forest of what it found, and each of these links is then checked exactly.
+    is missed with probability MISSED at any size, closer ones far more rarely. In a bucket the Gray-order
+    index finds the fingerprints within the expected distance and two deviations. The minimum spanning
+    forests of what the FIRST tables bring together are checked exactly and give the first classes; then
+    all tables are searched for pairs of different classes, and each of these is checked exactly.
 
     Null ids take no part; rows that share an id are one document (the least text of them); texts
     with fewer words than a shingle have one shingle, all their words.
@@ -373,38 +411,41 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     small_batches(spark, 1000)
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    words = [f"w{k}" for k in range(WIDE)]
-    marks = stored(docs.mapInArrow(_wide(shingle), "doc_id long, " + ", ".join(f"{w} long" for w in words)), "wide-fingerprints")
-    reps = marks.groupBy(*words).agg(F.min("doc_id").alias("doc_id")).select("doc_id", *words).dropDuplicates(["doc_id"])
+    marks = stored(docs.mapInArrow(_wide(shingle), "doc_id long, " + ", ".join(f"{w} long" for w in WORDS) + ", total long, n int"), "wide-fingerprints")
+    alike = [*WORDS, "total", "n"]
+    reps = marks.groupBy(*alike).agg(F.min("doc_id").alias("doc_id")).dropDuplicates(["doc_id"])
     n = marks.count()
     share = differing(similarity)
     radius = int(64 * WIDE * share + 2 * (64 * WIDE * share * (1 - share)) ** 0.5)
-    rng, level, links = np.random.default_rng(11), 0, None
-    keyed = reps.select(F.lit(0).cast("long").alias("key"), "doc_id", *words)
-    schema = "key long, doc_id long, " + ", ".join(f"{w} long" for w in words)
     size = max(2, int(np.ceil(np.log2(max(2, n / BUCKET)))))
-    while True:
-        tables = int(np.ceil(np.log(MISSED) / np.log(1 - (1 - share) ** size)))
-        bits = np.array([rng.choice(64 * WIDE, size, replace=False) for _ in range(tables)])
-        keyed = keyed.mapInArrow(_bucket_keys(bits), schema)
-        large = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key"), "large-buckets")
-        none = large.isEmpty()
-        small = keyed if none else keyed.join(large, "key", "left_anti").select("key", "doc_id", *words)
-        got = small.repartition("key").mapInArrow(_spanning(radius), "a long, b long")
-        links = got if links is None else links.unionByName(got)
-        level += 1
-        if none or level > 12:
-            break
-        keyed = stored(keyed.join(large, "key", "left_semi").select("key", "doc_id", *words), "large-rows")
-        size = 3
-    same = marks.join(reps.withColumnRenamed("doc_id", "rep"), words).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = stored(links.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    ends = links.select(F.explode(F.array("a", "b")).alias("e")).distinct()
-    own = docs.join(ends, docs["doc_id"] == ends["e"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = stored(own.mapInArrow(_shingle_hashes(shingle), "doc_id long, s array<long>"), "shingles")
-    first, second = (sets.select(F.col("doc_id").alias(f"{k}_id"), F.col("s").alias(f"s{k}")) for k in "ab")
-    pairs = links.join(first, links["a"] == first["a_id"]).join(second, F.col("b") == second["b_id"]).select("a", "b", "sa", "sb")
-    found = components(pairs.mapInArrow(_similar(similarity), "a long, b long"))
+    tables = int(np.ceil(np.log(MISSED) / np.log(1 - (1 - share) ** size)))
+    rng = np.random.default_rng(11)
+    bits = np.array([rng.choice(64 * WIDE, size, replace=False) for _ in range(tables)])
+
+    def checked(links: DataFrame, what: str) -> DataFrame:
+        """The pairs that are similar indeed."""
+        links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"candidates-{what}")
+        ends = links.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+        own = docs.join(ends, docs["doc_id"] == ends["e"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        sets = stored(own.mapInArrow(_shingle_hashes(shingle), "doc_id long, s array<long>"), f"shingles-{what}")
+        first, second = (sets.select(F.col("doc_id").alias(f"{k}_id"), F.col("s").alias(f"s{k}")) for k in "ab")
+        pairs = links.join(first, links["a"] == first["a_id"]).join(second, F.col("b") == second["b_id"]).select("a", "b", "sa", "sb")
+        return stored(pairs.mapInArrow(_similar(similarity), "a long, b long"), f"links-{what}")
+
+    def search(rows: DataFrame, bits: np.ndarray, thin: bool) -> DataFrame:
+        """Pairs of documents of one bucket and different labels."""
+        fields = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+        keyed = rows.mapInArrow(_bucket_keys(bits), f"key long, t int, {fields}").select("key", "t", "doc_id", "label", "n", *WORDS)
+        return keyed.repartition("key").mapInArrow(_candidates(radius, similarity, bits, thin), "a long, b long")
+
+    rows = reps.select("doc_id", F.col("doc_id").alias("label"), "n", *WORDS)
+    same = marks.join(reps.withColumnRenamed("doc_id", "rep"), alike).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    near = checked(search(rows, bits[:FIRST], True).unionByName(same), "first")
+    # what is linked already needs no further link; every other candidate is checked, none thinned out
+    roots = stored(components(near), "roots")
+    rows = reps.join(roots, reps["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("label"), "n", *WORDS)
+    rest = checked(search(stored(rows, "labels"), bits, False), "rest")
+    found = components(near.unionByName(rest))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
 
 
