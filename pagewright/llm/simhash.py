@@ -327,19 +327,19 @@ def _candidates(radius: int, similarity: float, bits: np.ndarray, thin: bool) ->
             masks[t, p // 64] |= np.uint64(1) << np.uint64(p % 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in b.columns] for b in batches]
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not got:
             return
-        key, table, ids, label, n, *words = (np.concatenate(x) for x in zip(*got))
+        key, block, home, table, ids, label, n, *words = (np.concatenate(x) for x in zip(*got))
         words = np.stack(words, 1).view(np.uint64)
-        _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+        _, group, size = np.unique(np.rec.fromarrays([key, block]), return_inverse=True, return_counts=True)
         # only rows that do not have the most common label of their bucket ask: of two labels one does
         _, first, which, count = np.unique(np.rec.fromarrays([group, label]), return_index=True, return_inverse=True, return_counts=True)
         most = np.lexsort((count, group[first]))
         most = most[np.r_[group[first][most][1:] != group[first][most][:-1], True]] if len(most) else most
         ask = ~np.isin(which, most)
         several = (np.bincount(group, ask, len(size)) > 0)[group]
-        group, table, ids, label, n, words, ask = (x[several] for x in (group, table, ids, label, n, words, ask))
+        group, home, table, ids, label, n, words, ask = (x[several] for x in (group, home, table, ids, label, n, words, ask))
         node, place = np.unique(ids, return_inverse=True)
         held = [(np.zeros(0, int),) * 3]
 
@@ -349,7 +349,7 @@ def _candidates(radius: int, similarity: float, bits: np.ndarray, thin: bool) ->
             held[:] = [(a[keep], b[keep], far[keep])]
 
         for x, y, far in GrayIndex(group, words).links(radius, ask=ask) if len(ids) else ():
-            ok = (label[x] != label[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
+            ok = (label[x] != label[y]) & (home[x] | home[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
             x, y, far = x[ok], y[ok], far[ok]
             differ, new = words[x] ^ words[y], np.ones(len(x), bool)
             for t in range(int(table[x].max(initial=0))):
@@ -432,11 +432,22 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = links.join(first, links["a"] == first["a_id"]).join(second, F.col("b") == second["b_id"]).select("a", "b", "sa", "sb")
         return stored(pairs.mapInArrow(_similar(similarity), "a long, b long"), f"links-{what}")
 
+    def blocks(keyed: DataFrame, visit: bool) -> DataFrame:
+        """`keyed` with the block of its bucket: every row has a home in one block of some GROUP rows, and
+        in a bucket of several blocks those that ask, without its most common label, visit all others."""
+        counts = keyed.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("rows"), F.max_by("label", F.struct("c", "label")).alias("top"))
+        large = stored(counts.where(F.col("rows") > GROUP).select(F.col("key").alias("k"), F.ceil(F.col("rows") / GROUP).cast("int").alias("blocks"), "top"), "large-buckets")
+        dealt = keyed.join(large, keyed["key"] == large["k"], "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("doc_id", "t"), "blocks").cast("int"), F.lit(0)))
+        if not visit:
+            return dealt.select("*", F.col("own").alias("block"), F.lit(True).alias("home"))
+        visits = F.when(F.col("label") != F.col("top"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+        return dealt.withColumn("block", F.explode_outer(visits)).withColumn("home", F.col("block") == F.col("own"))
+
     def search(rows: DataFrame, bits: np.ndarray, thin: bool) -> DataFrame:
         """Pairs of documents of one bucket and different labels."""
         fields = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
-        keyed = rows.mapInArrow(_bucket_keys(bits), f"key long, t int, {fields}").select("key", "t", "doc_id", "label", "n", *WORDS)
-        return keyed.repartition("key").mapInArrow(_candidates(radius, similarity, bits, thin), "a long, b long")
+        keyed = blocks(rows.mapInArrow(_bucket_keys(bits), f"key long, t int, {fields}"), not thin).select("key", "block", "home", "t", "doc_id", "label", "n", *WORDS)
+        return keyed.repartition("key", "block").mapInArrow(_candidates(radius, similarity, bits, thin), "a long, b long")
 
     rows = reps.select("doc_id", F.col("doc_id").alias("label"), "n", *WORDS)
     same = marks.join(reps.withColumnRenamed("doc_id", "rep"), alike).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -36,3 +36,24 @@ def test_a_link_beside_nearer_looking_pairs_that_are_none(spark):
     got = classes(spark, rows)
     assert all(i % 3 == 1 and c == i - 1 or c == i for i, c in got.items()) and not any(i % 3 == 2 for i in got)
     assert sum(3 * k + 1 not in got for k in range(triples)) <= 0.04 * triples
+
+
+def test_a_bucket_far_larger_than_a_block(spark, monkeypatch):
+    """A family of distinct copies that random bits hardly split."""
+    monkeypatch.setattr(simhash, "GROUP", 16)
+    rng = random.Random(8)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(k, edited(base, [rng.randrange(10, 390)], f"c{k}x")) for k in range(300)]
+    rows += [(1000 + k, " ".join(rng.choices(base, k=300))) for k in range(60)]
+    got = classes(spark, rows)
+    assert got == {k: 0 for k in range(300)}
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    """A chain of texts, each similar to the next only, is one class whatever the size of a block."""
+    rng, words, rows = random.Random(9), [f"t{k}" for k in range(300)], []
+    for k in range(120):
+        words = edited(words, rng.sample(range(10, 290, 6), 2), f"e{k}x").split()
+        rows.append((k, " ".join(words)))
+    monkeypatch.setattr(simhash, "GROUP", 8)
+    assert classes(spark, rows) == {k: 0 for k in range(120)}
