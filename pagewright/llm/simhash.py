@@ -17,6 +17,7 @@ of those bits, and so on; a group that leaves b bits free has at most 2**b membe
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -232,6 +233,16 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 WIDE = 4
 #: Fingerprints that an average bucket holds.
 BUCKET = 64
+#: Texts of up to so many shingles meet over shingles they share: few hashes make fingerprints differ more.
+FEW = 24
+#: Share by which sets of more than FEW shingles differ in more bits at most than sets without end (1.03).
+SPREAD = 1.04
+#: Bits that such a text and a copy never differ in, in practice (48 expected at most, deviation 6).
+FAR = 96
+#: Deviations from the expected distance that a search allows.
+DEVIATIONS = 4
+#: Common shingles of short texts that are looked at last.
+COMMON = 10_000
 WORDS = [f"w{k}" for k in range(WIDE)]
 #: Tables whose links are checked first, so that a family of copies is one class when the others are searched.
 FIRST = 4
@@ -269,14 +280,38 @@ def differing(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def _wide(shingle: int) -> Callable:
+def missed(share: float, size: int, tables: int, radius: int) -> float:
+    """Share of the pairs whose bits differ with probability `share` that are beyond the radius or in no
+    common bucket of `tables` tables of `size` bits, over the distribution of their distance."""
+    far, bits = np.arange(64 * WIDE + 1), 64 * WIDE
+    ways = np.array([lgamma(bits + 1) - lgamma(d + 1) - lgamma(bits - d + 1) for d in far])
+    chance = np.exp(ways + far * np.log(share) + (bits - far) * np.log(1 - share))
+    k = np.arange(size)
+    meet = np.prod(np.maximum(bits - far[:, None] - k, 0) / (bits - k), 1)
+    return float((chance * np.where(far <= radius, (1 - meet) ** tables, 1)).sum())
+
+
+def tables_needed(share: float, size: int, radius: int) -> int:
+    """Least number of tables that misses MISSED of the pairs at most."""
+    high = 1
+    while missed(share, size, high, radius) > MISSED:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if missed(share, size, mid, radius) <= MISSED else (mid, high)
+    return high
+
+
+def _wide(shingle: int, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             grams = [list(_shingles(t.as_py(), shingle)) for t in b.column(1)]
             got = [_sketch(g) for g in grams]
             words = np.array([w for w, _ in got]).reshape(-1, WIDE)
-            columns = [pa.array([t for _, t in got], pa.int64()), pa.array([len(g) for g in grams], pa.int32())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in words.T), *columns], names=["doc_id", *WORDS, "total", "n"])
+            few = [sorted(xxhash.xxh64_intdigest(x) - (1 << 63) for x in g) if len(g) <= most else None for g in grams]
+            columns = [pa.array([t for _, t in got], pa.int64()), pa.array([len(g) for g in grams], pa.int32()), pa.array(few, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in words.T), *columns], names=["doc_id", *WORDS, "total", "n", "few"])
 
     return run
 
@@ -298,6 +333,23 @@ def _bucket_keys(bits: np.ndarray) -> Callable:
     return run
 
 
+def _few_keys(similarity: float, common: dict[int, int]) -> Callable:
+    """Rows of short texts by shingle: of the shingles, rare ones first, as many as two similar sets cannot
+    both do without."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, row = [], []
+            for k, few in enumerate(b.column("few").to_pylist()):
+                own = sorted(few, key=lambda x: (common.get(x, 0), x))[: len(few) - int(np.ceil(similarity * len(few) - 1e-9)) + 1]
+                key += own
+                row += [k] * len(own)
+            kept = b.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.full(len(key), -1, np.int32)), *kept.columns], names=["key", "t", *kept.schema.names])
+
+    return run
+
+
 def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Places of links (a, b at distance far) that make a minimum spanning forest of n nodes: closest first,
     of a cycle the farthest goes. Links of one distance are taken in rounds: each round, every component
@@ -400,8 +452,9 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Candidates share a bucket of at least one table of fingerprint bits; the number of bits follows
     the number of documents and the number of tables the bits, so that a pair at exactly `similarity`
-    is missed with probability MISSED at any size, closer ones far more rarely. In a bucket the Gray-order
-    index finds the fingerprints within the expected distance and two deviations. The minimum spanning
+    is missed with probability MISSED at any size, closer ones far more rarely; pairs with a text of up to
+    FEW shingles meet over shingles instead, without a miss. Buckets over GROUP are cut into blocks. In a
+    bucket the Gray-order index finds the fingerprints within the expected distance and DEVIATIONS. The minimum spanning
     forests of what the FIRST tables bring together are checked exactly and give the first classes; then
     all tables are searched for pairs of different classes, and each of these is checked exactly.
 
@@ -411,14 +464,15 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     small_batches(spark, 1000)
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = stored(docs.mapInArrow(_wide(shingle), "doc_id long, " + ", ".join(f"{w} long" for w in WORDS) + ", total long, n int"), "wide-fingerprints")
+    most = int(FEW / similarity + 1e-9)
+    marks = stored(docs.mapInArrow(_wide(shingle, most), "doc_id long, " + ", ".join(f"{w} long" for w in WORDS) + ", total long, n int, few array<long>"), "wide-fingerprints")
     alike = [*WORDS, "total", "n"]
-    reps = marks.groupBy(*alike).agg(F.min("doc_id").alias("doc_id")).dropDuplicates(["doc_id"])
+    reps = marks.groupBy(*alike).agg(F.min("doc_id").alias("doc_id"), F.first("few").alias("few")).dropDuplicates(["doc_id"])
     n = marks.count()
-    share = differing(similarity)
-    radius = int(64 * WIDE * share + 2 * (64 * WIDE * share * (1 - share)) ** 0.5)
+    share = SPREAD * differing(similarity)
+    radius = int(64 * WIDE * share + DEVIATIONS * (64 * WIDE * share * (1 - share)) ** 0.5)
     size = max(2, int(np.ceil(np.log2(max(2, n / BUCKET)))))
-    tables = int(np.ceil(np.log(MISSED) / np.log(1 - (1 - share) ** size)))
+    tables = tables_needed(share, size, radius)
     rng = np.random.default_rng(11)
     bits = np.array([rng.choice(64 * WIDE, size, replace=False) for _ in range(tables)])
 
@@ -443,18 +497,27 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         visits = F.when(F.col("label") != F.col("top"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
         return dealt.withColumn("block", F.explode_outer(visits)).withColumn("home", F.col("block") == F.col("own"))
 
-    def search(rows: DataFrame, bits: np.ndarray, thin: bool) -> DataFrame:
-        """Pairs of documents of one bucket and different labels."""
-        fields = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
-        keyed = blocks(rows.mapInArrow(_bucket_keys(bits), f"key long, t int, {fields}"), not thin).select("key", "block", "home", "t", "doc_id", "label", "n", *WORDS)
-        return keyed.repartition("key", "block").mapInArrow(_candidates(radius, similarity, bits, thin), "a long, b long")
+    seen = marks.select(F.explode("few").alias("x")).groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") > GROUP)
+    common = {r.x: r.c for r in seen.orderBy(F.desc("c"), "x").limit(COMMON).collect()}
 
-    rows = reps.select("doc_id", F.col("doc_id").alias("label"), "n", *WORDS)
+    def search(rows: DataFrame, bits: np.ndarray, thin: bool) -> DataFrame:
+        """Pairs of documents of one bucket, or of short ones with one shingle, and different labels."""
+        out = []
+        for own, keys, far, tables in (
+            (rows.where(F.col("n") > FEW).drop("few"), _bucket_keys(bits), radius, bits),
+            (rows.where(F.col("few").isNotNull()), _few_keys(similarity, common), FAR, bits[:0]),
+        ):
+            fields = ", ".join(f"{c} {k}" for c, k in own.dtypes)
+            keyed = blocks(own.mapInArrow(keys, f"key long, t int, {fields}"), not thin).select("key", "block", "home", "t", "doc_id", "label", "n", *WORDS)
+            out.append(keyed.repartition("key", "block").mapInArrow(_candidates(far, similarity, tables, thin), "a long, b long"))
+        return out[0].unionByName(out[1])
+
+    rows = reps.select("doc_id", F.col("doc_id").alias("label"), "n", *WORDS, "few")
     same = marks.join(reps.withColumnRenamed("doc_id", "rep"), alike).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     near = checked(search(rows, bits[:FIRST], True).unionByName(same), "first")
     # what is linked already needs no further link; every other candidate is checked, none thinned out
     roots = stored(components(near), "roots")
-    rows = reps.join(roots, reps["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("label"), "n", *WORDS)
+    rows = reps.join(roots, reps["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("label"), "n", *WORDS, "few")
     rest = checked(search(stored(rows, "labels"), bits, False), "rest")
     found = components(near.unionByName(rest))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))

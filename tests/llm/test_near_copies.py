@@ -57,3 +57,27 @@ def test_blocks_lose_no_link(spark, monkeypatch):
         rows.append((k, " ".join(words)))
     monkeypatch.setattr(simhash, "GROUP", 8)
     assert classes(spark, rows) == {k: 0 for k in range(120)}
+
+
+def test_short_texts_and_one_more_word(spark):
+    """Eight words and the same with one more: four of five shingles, always found."""
+    rng, rows = random.Random(3), []
+    for k in range(150):
+        words = [f"t{rng.randrange(10**6)}" for _ in range(8)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]
+    assert classes(spark, rows) == {i: i - i % 2 for i, _ in rows}
+
+
+def test_pairs_at_the_similarity_asked_for():
+    share = simhash.SPREAD * simhash.differing(0.8)
+    radius = int(256 * share + simhash.DEVIATIONS * (256 * share * (1 - share)) ** 0.5)
+    for size in (6, 12, 16):
+        tables = simhash.tables_needed(share, size, radius)
+        assert simhash.missed(share, size, tables, radius) <= simhash.MISSED < simhash.missed(share, size, tables - 1, radius)
+        rng = random.Random(size)
+        places = [sum(1 << p for p in rng.sample(range(256), size)) for _ in range(tables)]
+        lost = 0
+        for _ in range(2000):
+            differ = sum((rng.random() < share) << p for p in range(256))
+            lost += differ.bit_count() > radius or all(differ & x for x in places)
+        assert lost <= 2000 * 2 * simhash.MISSED
