@@ -37,8 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their pieces."""
-    return pieces.encode(docs, docs.columns, check=False)
+    """The documents with the ids of their pieces, whether decoding gives the text back, and its digest."""
+    return pieces.encode(docs, docs.columns)
 
 
 STAGES = [
