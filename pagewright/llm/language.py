@@ -33,11 +33,9 @@ SAMPLE = 120
 SNIPPET = 4000
 DICTIONARY = 1 << 16
 BLOCK = 4096
-#: Texts of fewer bytes are encoded at the first level, which finds shorter matches, longer ones at the
-#: second; the number of dictionaries a language that each uses.
-SHORT = 1500
-LEVELS = (9, 3)
-USE = (1, 1)
+#: Every text is encoded at this level, with so many dictionaries a language.
+LEVEL = 9
+USE = 1
 #: A best size within this share of the next is a narrow margin.
 NARROW = 0.002
 OUT = ("lang_pred", "score", "rejected")
@@ -45,8 +43,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def plain(text: str) -> bytes:
-    """The distinct words of a text in order of appearance, lower case, letters only, a space before and
-    after each: markup, digits and repetition, which tell no language, cost nothing."""
+    """The words of a text, lower case, letters only, a space before and after each: markup and digits,
+    which tell no language, cost nothing."""
+    words = LETTERS.findall(text.lower())
+    return f" {' '.join(words)} ".encode() if words else b""
+
+
+def vocabulary(text: str) -> bytes:
+    """The distinct words of a text as `plain` gives them, in order of appearance: a dictionary needs no word twice."""
     words = dict.fromkeys(LETTERS.findall(text.lower()))
     return f" {' '.join(words)} ".encode() if words else b""
 
@@ -59,7 +63,7 @@ def learn(df: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "
     ranked = fit.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SNIPPET).alias("text"), F.row_number().over(order).alias("rank"))
     out: dict[str, list[bytes]] = {}
     for r in sorted(ranked.where(F.col("rank") <= SAMPLE).collect(), key=lambda r: (r.lang, r["rank"])):
-        out.setdefault(r.lang, []).append(plain(r.text))
+        out.setdefault(r.lang, []).append(vocabulary(r.text))
     return {k: _cut(b"".join(v)) for k, v in out.items()}
 
 
@@ -74,7 +78,7 @@ class Classifier:
         self.names = sorted(dictionaries)
         self.raw = [b"".join(dictionaries[n]) for n in self.names]
         least = min((len(x) for x in dictionaries.values()), default=0)
-        self.coders = [[[self._coder(raw, level) for raw in dictionaries[n][: min(use, least)]] for n in self.names] for level, use in zip(LEVELS, USE)]
+        self.coders = [[self._coder(raw, LEVEL) for raw in dictionaries[n][: min(USE, least)]] for n in self.names]
 
     @staticmethod
     def _coder(raw: bytes, level: int) -> Callable[[bytes], bytes]:
@@ -84,7 +88,7 @@ class Classifier:
 
     def sizes(self, data: bytes) -> list[int]:
         blocks = [data[lo : lo + BLOCK] for lo in range(0, len(data), BLOCK)]
-        return [sum(len(f(b)) for f in own for b in blocks) for own in self.coders[len(data) >= SHORT]]
+        return [sum(len(f(b)) for f in own for b in blocks) for own in self.coders]
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, rejected."""
@@ -100,7 +104,7 @@ class Classifier:
             return self.names[best], float(margin / (margin + 0.05)), False
         # a few bytes decide nothing: among the smallest, the dictionary that holds most of the words
         close = [k for k, x in enumerate(size) if 1 - size[best] / x < NARROW]
-        words = [b" " + w + b" " for w in data.split()]
+        words = [b" " + w + b" " for w in dict.fromkeys(data.split())]
         held = {k: sum(w in self.raw[k] for w in words) for k in close}
         most = max(close, key=held.__getitem__)
         single = sum(h == held[most] for h in held.values()) == 1
