@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _own_folder: list[str] = []
+_made: ContextVar[list[str]] = ContextVar("made", default=[])
 
 
 def ascii_lower(c: Column) -> Column:
@@ -25,12 +30,14 @@ def ascii_lower(c: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (a single machine, as in tests) a temporary folder stands in
-    and goes when the process ends.
+    Where the setting is absent on a single machine, as in tests, a temporary folder stands in and goes
+    when the process ends; on a cluster its absence is an error.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="pagewright-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
@@ -43,21 +50,44 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files behind a `stored` frame that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def last_path() -> str:
+    """Where the latest table was stored."""
+    return _made.get()[-1]
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16) -> None:
-    """Bounds what one Arrow batch carries to Python, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths that are stored meanwhile (in this thread), in order."""
+    made: list[str] = []
+    before = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(before)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, at most `rows` at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes that one Arrow batch carries to Python, whatever the length of the texts. The same
+    value for all operators, since frames read it only when they run."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

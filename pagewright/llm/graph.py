@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_paths, last_path, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,17 +33,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     large partitions adaptive execution may split.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    old, mark = last_path(), None
     for _ in range(most_rounds):
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break
         mark = seen
         large = stored(_star(edges, True), "large-star")
-        small = stored(_star(large, False), "small-star")
-        for x in (edges, large):
-            drop_stored(x)
-        edges = small
+        done = [old, last_path()]
+        edges = stored(_star(large, False), "small-star")
+        drop_paths(edges.sparkSession, done)
+        old = last_path()
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import sliced, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -240,7 +240,7 @@ class Pieces:
 def _codec(model: bytes, check: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model)
-        for b in batches:
+        for b in sliced(batches, 500):
             texts = b.column("text").to_pylist()
             coded = own.encode(texts)
             flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
@@ -258,8 +258,9 @@ def _codec(model: bytes, check: bool) -> Callable:
 
 def encode(df: DataFrame, keep: list[str], text_col: str = "text", model: str = MODEL, check: bool = True) -> DataFrame:
     """The columns `keep`, text, ids array<int>; with `check` also round_trip (decoding the ids gives the
-    text back) and decoded_sha256. The model file is read once on the driver."""
-    small_batches(df.sparkSession, 500, 8)
+    text back) and decoded_sha256. Columns of these names in `keep` give way to them. The model file is read
+    once on the driver."""
+    small_batches(df.sparkSession)
     with open(model, "rb") as f:
         data = f.read()
     keep = [k for k in keep if k not in ("text", "ids", "round_trip", "decoded_sha256")]

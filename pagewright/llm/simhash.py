@@ -22,10 +22,10 @@ from math import lgamma
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import collecting, drop_paths, sliced, small_batches, stored
 from .graph import components
 
 #: Most rows of a group that one index holds.
@@ -56,7 +56,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 def _fingerprints(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2000):
             fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -140,9 +140,9 @@ class GrayIndex:
             yield self.order[q[at[ok]]], self.order[node[ok]], near[ok]
 
 
-def forest(n: int, links: Iterator[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """Label of each of n nodes: the least node reachable over the links seen."""
-    label = np.arange(n)
+def forest(n: int, links: Iterator[tuple[np.ndarray, ...]], label: np.ndarray | None = None) -> np.ndarray:
+    """Label of each of n nodes: the least node reachable over the links seen (and those that made `label`)."""
+    label = np.arange(n) if label is None else label.copy()
     for a, b, _ in links:
         while len(a):
             x, y = label[a], label[b]
@@ -244,35 +244,61 @@ DEVIATIONS = 4
 #: Common shingles of short texts that are looked at last.
 COMMON = 10_000
 WORDS = [f"w{k}" for k in range(WIDE)]
-#: Tables whose links are checked first, so that a family of copies is one class when the others are searched.
+#: One in so many tables is searched first, so that a family of copies is one class when all are searched.
 FIRST = 4
-#: Links that a task gathers before it thins them out.
-LINKS = 1 << 20
+#: Rows of a large bucket, the nearest to its majority of bits, that meet all others in that first search.
+HUBS = 8
+#: Rows whose cells are searched together.
+CHUNK = 1 << 16
+#: Pairs whose shingles are compared at a time.
+PAIRS = 1 << 13
 #: Share of the pairs at exactly the similarity asked for that no bucket may bring together.
 MISSED = 0.01
 
 
-def _shingles(text: str | None, shingle: int) -> set[bytes]:
-    words = (text or "").encode().lower().split()
-    return set(map(b" ".join, zip(*(words[k:] for k in range(shingle))))) if len(words) >= shingle else {b" ".join(words)}
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Words whose every bit depends on all bits of x."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: str | None, shingle: int, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles of a text (ASCII lower case); of one with fewer words than
+    a shingle, the one hash of all its words. Words are hashed once each (`known`), shingles are sums over
+    their words, so that no shingle is ever a string."""
+    known = {} if known is None else known
+    words = []
+    for w in (text or "").encode().lower().split():
+        h = known.get(w)
+        if h is None:
+            h = known[w] = xxhash.xxh64_intdigest(w)
+        words.append(h)
+    own = np.array(words, np.uint64)
+    size = min(shingle, max(1, len(own)))
+    n = len(own) - size + 1
+    out = np.full(max(1, n), size, np.uint64)
+    for k in range(size if n > 0 else 0):
+        out = out * _MIX[0] + own[k : k + n]
+    return np.unique(_mixed(out))
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
-    """WIDE words over the distinct shingles; their expected share of differing bits is the angle between
-    the shingle sets."""
-    grams = list(_shingles(text, shingle))
-    return _sketch(grams)[0]
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE words over the hashes of distinct shingles; their expected share of differing bits is the angle
+    between the shingle sets."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for lo in range(0, len(hashes), BLOCK):
+        own = hashes[lo : lo + BLOCK, None] + np.arange(1, WIDE + 1, dtype=np.uint64) * _MIX[0]
+        ones += np.unpackbits(_mixed(own).view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).view("<i8")
 
 
-def _sketch(grams: list[bytes]) -> tuple[np.ndarray, int]:
-    """The wide fingerprint of distinct shingles, and a sum of their hashes that tells sets apart."""
-    ones, h, total = np.zeros(64 * WIDE, np.int64), xxhash.xxh3_128_digest, np.uint64(0)
-    for lo in range(0, len(grams), BLOCK):
-        own = b"".join([h(g, s) for g in grams[lo : lo + BLOCK] for s in range(WIDE // 2)])
-        own = np.frombuffer(own, np.uint8).reshape(-1, 8 * WIDE)
-        ones += np.unpackbits(own, axis=1).sum(0, dtype=np.int64)
-        total += own.view("<u8")[:, 0].sum(dtype=np.uint64)
-    return np.packbits(2 * ones > len(grams)).view("<i8"), int(total.view(np.int64))
+def _total(hashes: np.ndarray) -> int:
+    """A sum that tells sets apart."""
+    return int(hashes.sum(dtype=np.uint64).view(np.int64))
 
 
 def differing(similarity: float) -> float:
@@ -305,12 +331,12 @@ def tables_needed(share: float, size: int, radius: int) -> int:
 
 def _wide(shingle: int, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            grams = [list(_shingles(t.as_py(), shingle)) for t in b.column(1)]
-            got = [_sketch(g) for g in grams]
-            words = np.array([w for w, _ in got]).reshape(-1, WIDE)
-            few = [sorted(xxhash.xxh64_intdigest(x) - (1 << 63) for x in g) if len(g) <= most else None for g in grams]
-            columns = [pa.array([t for _, t in got], pa.int64()), pa.array([len(g) for g in grams], pa.int32()), pa.array(few, pa.list_(pa.int64()))]
+        for b in sliced(batches, 1000):
+            known: dict[bytes, int] = {}
+            sets = [shingle_hashes(t.as_py(), shingle, known) for t in b.column(1)]
+            words = np.array([wide_fingerprint(x) for x in sets]).reshape(-1, WIDE)
+            few = [x.view(np.int64) if len(x) <= most else None for x in sets]
+            columns = [pa.array([_total(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(few, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in words.T), *columns], names=["doc_id", *WORDS, "total", "n", "few"])
 
     return run
@@ -338,9 +364,9 @@ def _few_keys(similarity: float, common: dict[int, int]) -> Callable:
     both do without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1000):
             key, row = [], []
-            for k, few in enumerate(b.column("few").to_pylist()):
+            for k, few in enumerate(b.column("s").to_pylist()):
                 own = sorted(few, key=lambda x: (common.get(x, 0), x))[: len(few) - int(np.ceil(similarity * len(few) - 1e-9)) + 1]
                 key += own
                 row += [k] * len(own)
@@ -350,180 +376,264 @@ def _few_keys(similarity: float, common: dict[int, int]) -> Callable:
     return run
 
 
-def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Places of links (a, b at distance far) that make a minimum spanning forest of n nodes: closest first,
-    of a cycle the farthest goes. Links of one distance are taken in rounds: each round, every component
-    that is not the lower end of all its links takes one of them down to a lower component."""
-    label, kept = np.arange(n), []
-    for d in np.unique(far):
-        at = np.flatnonzero(far == d)
-        while len(at):
-            x, y = label[a[at]], label[b[at]]
-            at, x, y = at[x != y], x[x != y], y[x != y]
-            if not len(at):
-                break
-            high, first = np.unique(np.maximum(x, y), return_index=True)
-            kept.append(at[first])
-            label[high] = np.minimum(x, y)[first]
-            while (label != label[label]).any():
-                label = label[label]
-    return np.concatenate(kept) if kept else np.zeros(0, int)
-
-
-def _candidates(radius: int, similarity: float, bits: np.ndarray, thin: bool) -> Callable:
-    """Pairs of a bucket within `radius` bits whose labels differ, each from the first table that brings it
-    together: all of them, or with `thin` a minimum spanning forest a task."""
+CELL = ["key", "i", "j"]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by cell (the first columns) put together to whole cells, some `rows` rows at a time."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        count += b.num_rows
+        if count >= rows:
+            all_ = whole()
+            cells = [all_.column(c).to_numpy() for c in CELL]
+            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cells])) + 1
+            if len(new):
+                yield all_.slice(0, new[-1])
+                all_ = all_.slice(new[-1])
+            held, count = [all_], all_.num_rows
+    if count:
+        yield whole()
+
+
+def _verified(similarity: float, x: np.ndarray, y: np.ndarray, ends: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Which pairs x, y of sets (flat[ends[k]:ends[k + 1]], distinct) are similar indeed."""
+    out = np.zeros(len(x), bool)
+    order = np.argsort(x, kind="stable")
+    size, start = np.diff(ends), 0
+    mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    while start < len(order):
+        own = x[order[start]]
+        stop = start + np.searchsorted(x[order[start:]], own, "right")
+        mine = flat[ends[own] : ends[own + 1]]
+        mark[mine] = True
+        for lo in range(start, stop, PAIRS):
+            at = order[lo : min(stop, lo + PAIRS)]
+            width = size[y[at]]
+            stops = np.cumsum(width)
+            place = np.repeat(ends[y[at]] - (stops - width), width) + np.arange(width.sum())
+            hit = np.r_[0, np.cumsum(mark[flat[place]])]
+            both = hit[stops] - hit[stops - width]
+            out[at] = both >= similarity * (len(mine) + width - both) - 1e-9
+        mark[mine] = False
+        start = stop
+    return out
+
+
+def _meet(radius: int, similarity: float, bits: np.ndarray, exact: bool) -> Callable:
+    """Searches whole cells for pairs within `radius` bits whose labels differ and whose sizes let them be
+    similar, each pair in the first table that brings it together. Gives the rows that are in such a pair;
+    with `exact`, which needs the shingles in `s`, a spanning forest of the pairs that are similar indeed."""
     masks = np.zeros((len(bits), WIDE), np.uint64)
     for t, places in enumerate(bits):
         for p in places:
             masks[t, p // 64] |= np.uint64(1) << np.uint64(p % 64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        if not got:
-            return
-        key, block, home, table, ids, label, n, *words = (np.concatenate(x) for x in zip(*got))
-        words = np.stack(words, 1).view(np.uint64)
-        _, group, size = np.unique(np.rec.fromarrays([key, block]), return_inverse=True, return_counts=True)
-        # only rows that do not have the most common label of their bucket ask: of two labels one does
+    def asks(group: np.ndarray, label: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """Rows that search: of two different labels of a cell one does."""
         _, first, which, count = np.unique(np.rec.fromarrays([group, label]), return_index=True, return_inverse=True, return_counts=True)
         most = np.lexsort((count, group[first]))
-        most = most[np.r_[group[first][most][1:] != group[first][most][:-1], True]] if len(most) else most
-        ask = ~np.isin(which, most)
-        several = (np.bincount(group, ask, len(size)) > 0)[group]
-        group, home, table, ids, label, n, words, ask = (x[several] for x in (group, home, table, ids, label, n, words, ask))
-        node, place = np.unique(ids, return_inverse=True)
-        held = [(np.zeros(0, int),) * 3]
-
-        def thinned() -> None:
-            a, b, far = (np.concatenate(x) for x in zip(*held))
-            keep = spanning_forest(len(node), a, b, far)
-            held[:] = [(a[keep], b[keep], far[keep])]
-
-        for x, y, far in GrayIndex(group, words).links(radius, ask=ask) if len(ids) else ():
-            ok = (label[x] != label[y]) & (home[x] | home[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
-            x, y, far = x[ok], y[ok], far[ok]
-            differ, new = words[x] ^ words[y], np.ones(len(x), bool)
-            for t in range(int(table[x].max(initial=0))):
-                new &= (table[x] <= t) | ((differ & masks[t]) != 0).any(1)
-            x, y, far = x[new], y[new], far[new]
-            if thin:
-                held.append((place[x], place[y], far))
-                # of many links only a forest stays, which has fewer than there are nodes
-                if sum(len(h[2]) for h in held) > LINKS + len(node):
-                    thinned()
-            elif len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
-        if thin:
-            thinned()
-            a, b, _ = held[0]
-            yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["a", "b"])
-
-    return run
-
+        most = most[np.r_[group[first][most][1:] != group[first][most][:-1], True]]
+        return np.where(side == 2, ~np.isin(which, most), side == 0)
 
-def _similar(similarity: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = []
-            for c in ("sa", "sb"):
-                ends, flat = b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy()
-                sets.append([flat[i:j] for i, j in zip(ends, ends[1:])])
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)])
-            each = np.array([len(x) + len(y) for x, y in zip(*sets)])
-            ok = pa.array(both >= similarity * (each - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+        for b in _cells(batches, CHUNK // 16 if exact else CHUNK):
+            group = np.cumsum(np.r_[0, np.logical_or.reduce([np.diff(b.column(c).to_numpy()) != 0 for c in CELL])])
+            label, side = (b.column(c).to_numpy() for c in ("label", "side"))
+            ask = asks(group, label, side)
+            several = np.flatnonzero((np.bincount(group, ask) > 0)[group])
+            if not len(several):
+                continue
+            b, group, label, side, ask = b.take(pa.array(several)), group[several], label[several], side[several], ask[several]
+            ids, n, u, table = (b.column(c).to_numpy() for c in ("doc_id", "n", "u", "t"))
+            words = np.stack([b.column(w).to_numpy() for w in WORDS], 1).view(np.uint64)
+            found = np.zeros(len(ids), bool)
+            if exact:
+                node, at = np.unique(ids, return_inverse=True)
+                joined = np.arange(len(node))
+                ends = b.column("s").offsets.to_numpy()
+                flat = np.unique(b.column("s").values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)[1]
+                ends = ends - ends[0]
+            for x, y, _ in GrayIndex(group, words).links(radius, ask=ask):
+                ok = (label[x] != label[y]) & ((side[x] == 2) | (side[x] != side[y]))
+                x, y = x[ok], y[ok]
+                shared = np.minimum(n[x] - u[x], n[y] - u[y])
+                ok = shared >= similarity * (n[x] + n[y] - shared) - 1e-9
+                x, y = x[ok], y[ok]
+                differ, new = words[x] ^ words[y], np.ones(len(x), bool)
+                for t in range(int(table[x].max(initial=0))):
+                    new &= (table[x] <= t) | ((differ & masks[t]) != 0).any(1)
+                x, y = x[new], y[new]
+                if not exact:
+                    found[x] = found[y] = True
+                    continue
+                ok = joined[at[x]] != joined[at[y]]
+                x, y = x[ok], y[ok]
+                ok = _verified(similarity, x, y, ends, flat)
+                joined = forest(len(node), iter([(at[x[ok]], at[y[ok]], None)]), joined)
+            if not exact:
+                yield b.take(pa.array(np.flatnonzero(found)))
+                continue
+            out = joined != np.arange(len(node))
+            yield pa.RecordBatch.from_arrays([pa.array(node[out], pa.int64()), pa.array(node[joined[out]], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _shingle_hashes(shingle: int) -> Callable:
+def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k, m0..: the bits that most rows of a bucket have, of cells sorted by key."""
+    for b in _cells(batches, CHUNK):
+        keys, first = np.unique(b.column("key").to_numpy(), return_index=True)
+        words = np.stack([b.column(w).to_numpy() for w in WORDS], 1)
+        own = np.unpackbits(words.view(np.uint8), axis=1).astype(np.int64)
+        ends = np.r_[first[1:], len(words)] - first
+        most = np.packbits(2 * np.add.reduceat(own, first) > ends[:, None], axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(c)) for c in most.T)], names=["k", *(f"m{k}" for k in range(WIDE))])
+
+
+def _sets(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(np.array([xxhash.xxh64_intdigest(g) for g in _shingles(t.as_py(), shingle)], np.uint64)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
+        for b in sliced(batches, 500):
+            known: dict[bytes, int] = {}
+            sets = [shingle_hashes(t.as_py(), shingle, known) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_total(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["d", "sum", "s"])
 
     return run
 
 
-def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _cut(keyed: DataFrame, hubs: bool) -> DataFrame:
+    """`keyed` with the cells (i, j) of its buckets in which a row takes part, and its side there: rows of
+    sides 0 and 1 meet across, rows of side 2 all.
+
+    A bucket of up to GROUP rows is one cell. In a larger one the rows outside its most common label are
+    cut into blocks of some GROUP rows, and so are the others; each block of the first meets each block. So
+    no cell exceeds some 2 * GROUP rows and no pair of labels is left out. With `hubs` blocks do not meet;
+    instead the HUBS rows nearest to the bucket's majority of bits visit each.
+    """
+    large = stored(keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP).select(F.col("key").alias("k"), "rows"), "large-buckets")
+    one = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")]
+    if large.isEmpty():
+        return keyed.select("*", *one)
+    columns, place = keyed.columns, F.xxhash64("doc_id", "total", "t")
+    small = keyed.join(large, keyed["key"] == large["k"], "left_anti").select("*", *one)
+    if hubs:
+        blocks = F.ceil(F.col("rows") / GROUP).cast("int")
+        dealt = keyed.join(large, keyed["key"] == large["k"]).select(*columns, blocks.alias("blocks"), F.pmod(place, blocks).cast("int").alias("own"))
+        dealt = stored(dealt, "large-rows")
+        fields = ", ".join(f"m{k} long" for k in range(WIDE))
+        most = dealt.where("own = 0").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), *WORDS)
+        most = stored(most.repartition("key").sortWithinPartitions("key").mapInArrow(_majority, f"k long, {fields}"), "majorities")
+        far = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"m{k}"))) for k, w in enumerate(WORDS)), F.lit(0))
+        near = Window.partitionBy("key").orderBy("far", "doc_id", "total", "t")
+        hub = dealt.join(most, dealt["key"] == most["k"]).withColumn("far", far).withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= HUBS)
+        hub = hub.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> own").select(*columns, "i")
+        return small.unionByName(dealt.select(*columns, F.col("own").alias("i")).unionByName(hub).select("*", F.lit(0).alias("j"), F.lit(2).alias("side")))
+    own = keyed.join(large, keyed["key"] == large["k"]).groupBy("key", "label").agg(F.count("*").alias("c"))
+    own = own.groupBy("key").agg(F.sum("c").alias("rows"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("top"))
+    blocks = [F.ceil(x / GROUP).cast("int") for x in (F.col("rows") - F.col("most"), F.col("most"))]
+    own = stored(own.select(F.col("key").alias("k"), "top", blocks[0].alias("askers"), blocks[1].alias("others")).where("askers > 0"), "large-blocks")
+    dealt = keyed.join(own, keyed["key"] == own["k"])
+    mine = F.when(F.col("label") != F.col("top"), F.pmod(place, "askers")).otherwise(F.col("askers") + F.pmod(place, "others")).cast("int")
+
+    def cell(other):
+        return F.struct(F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j"), F.when(other == F.col("mine"), 2).when(other > F.col("mine"), 0).otherwise(1).alias("side"))
+
+    last = F.when(F.col("mine") < F.col("askers"), F.col("askers") + F.col("others")).otherwise(F.col("askers")) - 1
+    dealt = dealt.withColumn("mine", mine).withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), last), cell)))
+    return small.unionByName(dealt.select(*columns, "at.*"))
+
+
+def similar_classes(df: DataFrame, **options) -> DataFrame:
+    """What `_similar_classes` gives; of the tables written for it only the result's stays."""
+    with collecting() as made:
+        out = _similar_classes(df, **options)
+    drop_paths(df.sparkSession, made[:-1])
+    return out
+
+
+def _similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) for every document that has a near copy: classes
     of documents linked by a Jaccard similarity of `similarity` or more over distinct word shingles.
 
     Candidates share a bucket of at least one table of fingerprint bits; the number of bits follows
     the number of documents and the number of tables the bits, so that a pair at exactly `similarity`
     is missed with probability MISSED at any size, closer ones far more rarely; pairs with a text of up to
-    FEW shingles meet over shingles instead, without a miss. Buckets over GROUP are cut into blocks. In a
-    bucket the Gray-order index finds the fingerprints within the expected distance and DEVIATIONS. The minimum spanning
-    forests of what the FIRST tables bring together are checked exactly and give the first classes; then
-    all tables are searched for pairs of different classes, and each of these is checked exactly.
-
-    Null ids take no part; rows that share an id are one document (the least text of them); texts
-    with fewer words than a shingle have one shingle, all their words.
+    FEW shingles meet over shingles instead, without a miss. In a bucket the Gray-order index finds the
+    fingerprints within the expected distance and DEVIATIONS.
+
+    Every such pair is checked exactly before anything is thinned out: a task sends on the rows that have
+    candidates, never the pairs; their shingles are brought to the cell, the pairs found there again and
+    compared, and a spanning forest of those that are similar goes on. A first search over one in FIRST
+    tables joins families of copies, so that the second, over all tables, need only look at pairs of
+    different classes. Before that one compares shingles, a count of those that no other candidate has
+    bounds what two rows can share.
+
+    Null ids take no part; rows that share an id are one document, similar to what any of its texts is
+    similar to; texts with fewer words than a shingle have one shingle, all their words (none: the empty one).
     """
-    spark = df.sparkSession
-    small_batches(spark, 1000)
+    small_batches(df.sparkSession)
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     most = int(FEW / similarity + 1e-9)
     marks = stored(docs.mapInArrow(_wide(shingle, most), "doc_id long, " + ", ".join(f"{w} long" for w in WORDS) + ", total long, n int, few array<long>"), "wide-fingerprints")
     alike = [*WORDS, "total", "n"]
-    reps = marks.groupBy(*alike).agg(F.min("doc_id").alias("doc_id"), F.first("few").alias("few")).dropDuplicates(["doc_id"])
-    n = marks.count()
+    reps = stored(marks.groupBy(*alike).agg(F.min("doc_id").alias("doc_id"), F.first("few").alias("few")), "distinct-sets")
     share = SPREAD * differing(similarity)
     radius = int(64 * WIDE * share + DEVIATIONS * (64 * WIDE * share * (1 - share)) ** 0.5)
-    size = max(2, int(np.ceil(np.log2(max(2, n / BUCKET)))))
+    size = max(2, int(np.ceil(np.log2(max(2, marks.count() / BUCKET)))))
     tables = tables_needed(share, size, radius)
     rng = np.random.default_rng(11)
     bits = np.array([rng.choice(64 * WIDE, size, replace=False) for _ in range(tables)])
-
-    def checked(links: DataFrame, what: str) -> DataFrame:
-        """The pairs that are similar indeed."""
-        links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"candidates-{what}")
-        ends = links.select(F.explode(F.array("a", "b")).alias("e")).distinct()
-        own = docs.join(ends, docs["doc_id"] == ends["e"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        sets = stored(own.mapInArrow(_shingle_hashes(shingle), "doc_id long, s array<long>"), f"shingles-{what}")
-        first, second = (sets.select(F.col("doc_id").alias(f"{k}_id"), F.col("s").alias(f"s{k}")) for k in "ab")
-        pairs = links.join(first, links["a"] == first["a_id"]).join(second, F.col("b") == second["b_id"]).select("a", "b", "sa", "sb")
-        return stored(pairs.mapInArrow(_similar(similarity), "a long, b long"), f"links-{what}")
-
-    def blocks(keyed: DataFrame, visit: bool) -> DataFrame:
-        """`keyed` with the block of its bucket: every row has a home in one block of some GROUP rows, and
-        in a bucket of several blocks those that ask, without its most common label, visit all others."""
-        counts = keyed.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("rows"), F.max_by("label", F.struct("c", "label")).alias("top"))
-        large = stored(counts.where(F.col("rows") > GROUP).select(F.col("key").alias("k"), F.ceil(F.col("rows") / GROUP).cast("int").alias("blocks"), "top"), "large-buckets")
-        dealt = keyed.join(large, keyed["key"] == large["k"], "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("doc_id", "t"), "blocks").cast("int"), F.lit(0)))
-        if not visit:
-            return dealt.select("*", F.col("own").alias("block"), F.lit(True).alias("home"))
-        visits = F.when(F.col("label") != F.col("top"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-        return dealt.withColumn("block", F.explode_outer(visits)).withColumn("home", F.col("block") == F.col("own"))
-
     seen = marks.select(F.explode("few").alias("x")).groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") > GROUP)
     common = {r.x: r.c for r in seen.orderBy(F.desc("c"), "x").limit(COMMON).collect()}
+    row = ["doc_id", "label", "total", "n", "u", *WORDS]
+
+    def met(keyed: DataFrame, radius: int, bits: np.ndarray, exact: bool) -> DataFrame:
+        dealt = keyed.repartition(*CELL).sortWithinPartitions(*CELL)
+        return dealt.mapInArrow(_meet(radius, similarity, bits, exact), "a long, b long" if exact else ", ".join(f"{c} {k}" for c, k in dealt.dtypes))
+
+    def keyed(rows: DataFrame, keys: Callable) -> DataFrame:
+        return rows.mapInArrow(keys, "key long, t int, " + ", ".join(f"{c} {k}" for c, k in rows.dtypes))
+
+    def shingles_of(ids: DataFrame) -> DataFrame:
+        own = docs.join(ids.select(F.col("doc_id").alias("e")).distinct(), F.col("doc_id") == F.col("e"), "left_semi")
+        return stored(own.mapInArrow(_sets(shingle), "d long, sum long, s array<long>").dropDuplicates(["d", "sum"]), "shingles")
+
+    def search(rows: DataFrame, bits: np.ndarray, first: bool) -> DataFrame:
+        """Links between rows of different labels; not all of them if it is the `first` search."""
+        short = rows.where(F.col("few").isNotNull()).select(*row, F.col("few").alias("s"))
+        links = met(_cut(keyed(short, _few_keys(similarity, common)), first), FAR, bits[:0], True)
+        long = rows.where(F.col("n") > FEW).select(*row)
+        open_ = stored(met(_cut(keyed(long, _bucket_keys(bits)), first), radius, bits, False), "candidates")
+        sets = shingles_of(open_)
+        if not first:
+            alone = sets.select("d", "sum", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min(F.struct("d", "sum")).alias("of")).where("c = 1")
+            alone = alone.groupBy("of").agg(F.count("*").cast("int").alias("u")).select("of.*", "u")
+            ends = open_.select(*(c for c in row if c != "u")).distinct()
+            ends = ends.join(alone, (ends["doc_id"] == alone["d"]) & (ends["total"] == alone["sum"]), "left").select(*(F.coalesce("u", F.lit(0)).alias(c) if c == "u" else c for c in row))
+            open_ = stored(met(_cut(keyed(stored(ends, "open"), _bucket_keys(bits)), False), radius, bits, False), "candidates")
+        whole = open_.join(sets, (open_["doc_id"] == sets["d"]) & (open_["total"] == sets["sum"])).drop("d", "sum")
+        return stored(links.unionByName(met(whole, radius, bits, True)), "links")
+
+    def labelled(rows: DataFrame, label: Column) -> DataFrame:
+        return rows.select("doc_id", label.alias("label"), "total", "n", F.lit(0).alias("u"), *WORDS, "few")
 
-    def search(rows: DataFrame, bits: np.ndarray, thin: bool) -> DataFrame:
-        """Pairs of documents of one bucket, or of short ones with one shingle, and different labels."""
-        out = []
-        for own, keys, far, tables in (
-            (rows.where(F.col("n") > FEW).drop("few"), _bucket_keys(bits), radius, bits),
-            (rows.where(F.col("few").isNotNull()), _few_keys(similarity, common), FAR, bits[:0]),
-        ):
-            fields = ", ".join(f"{c} {k}" for c, k in own.dtypes)
-            keyed = blocks(own.mapInArrow(keys, f"key long, t int, {fields}"), not thin).select("key", "block", "home", "t", "doc_id", "label", "n", *WORDS)
-            out.append(keyed.repartition("key", "block").mapInArrow(_candidates(far, similarity, tables, thin), "a long, b long"))
-        return out[0].unionByName(out[1])
-
-    rows = reps.select("doc_id", F.col("doc_id").alias("label"), "n", *WORDS, "few")
     same = marks.join(reps.withColumnRenamed("doc_id", "rep"), alike).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    near = checked(search(rows, bits[:FIRST], True).unionByName(same), "first")
-    # what is linked already needs no further link; every other candidate is checked, none thinned out
-    roots = stored(components(near), "roots")
-    rows = reps.join(roots, reps["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("label"), "n", *WORDS, "few")
-    rest = checked(search(stored(rows, "labels"), bits, False), "rest")
-    found = components(near.unionByName(rest))
+    near = stored(search(labelled(reps, F.col("doc_id")), bits[: max(FIRST, tables // FIRST)], True).unionByName(same), "first-links")
+    roots = components(near)
+    rows = stored(labelled(reps.join(roots, reps["doc_id"] == roots["node"], "left"), F.coalesce("root", "doc_id")), "labels")
+    found = components(near.unionByName(search(rows, bits, False)))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`df` with the document of the least id of each class of near copies; others are kept as they are."""
-    gone = similar_classes(df, id_col, text_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
+    gone = similar_classes(df, id_col=id_col, text_col=text_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
     return df.join(gone, df[id_col].cast("long") == F.col("_gone"), "left_anti")
