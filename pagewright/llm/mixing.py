@@ -5,10 +5,13 @@ is cut into blocks of equal tokens (the last one may be short). Points of the go
 mapped through the cumulative target shares, deal slots to sources; the r-th slot of a source is
 joined with its r-th block, starting over when its blocks are used up. A source uses slots until its
 target is met: the last block is taken in part. Where the sequence has given a source a slot or two
-too few, these follow at the end.
+too few, these follow at the end. The mix in slot order is near the targets from its start on: what any
+prefix of the slots holds of a source differs from its share by a few blocks.
 
 No source is handled as one group: offsets come from sums of digest buckets of about BUCKET documents,
-slot ranks from counts of CHUNK slots. Only one row a source reaches the driver, MOST_SOURCES at most.
+slot ranks from counts of CHUNK slots. The digest is of id and text, so that null or repeated ids spread;
+rows with the same id, source and text are counted, placed once, and laid out one after the other. Only
+one row a source reaches the driver; over MOST_SOURCES sources are refused.
 
 Cases: null text has size 0; documents of size 0 are taken 0 times; the null source is a source of
 its own, ranked last; rows that repeat an id are documents of their own; no documents, no rows;
@@ -81,16 +84,19 @@ def schedule(df: DataFrame, plan: list[tuple[int, int, int]], block: int) -> Dat
     used = ranked.join(need, "s").where("rank < need").select("t", "s", "rank")
     given = dealt.groupBy("s").agg(F.count("*").alias("given"))
     short = need.join(given, "s", "left").where("need > coalesce(given, 0)")
-    more = short.select(F.lit(slots).cast("long").alias("t"), "s", F.explode(F.expr("sequence(coalesce(given, 0), need - 1)")).alias("rank"))
+    more = short.select("s", F.coalesce("given", F.lit(0)).alias("given"), F.explode(F.expr("sequence(coalesce(given, 0), need - 1)")).alias("rank"))
+    more = more.select((F.lit(slots) + F.col("rank") - F.col("given")).alias("t"), "s", "rank")
     return used.unionByName(more)
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, seed: int = 1) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of `df`."""
+    """doc_id, source, size, source_size, target, taken, first_slot (the first slot that takes words of it,
+    null if none does) and uses (all slots that take its first word, in order) for every row of `df`."""
     spark = df.sparkSession
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    base = stored(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("digest")), "mix-sizes")
-    sums = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).take(MOST_SOURCES + 1)
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("digest"))
+    base = stored(base.groupBy("doc_id", "source", "size", "digest").agg(F.count("*").alias("m")), "mix-sizes")
+    sums = base.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("size"), F.sum("m").alias("n")).take(MOST_SOURCES + 1)
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources")
     docs = {r.source: r.n for r in sums}
@@ -101,10 +107,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     sources = F.broadcast(spark.createDataFrame([(k, s, n, t, q, d) for k, ((s, n, t), q, d) in enumerate(zip(goals, quota, digits))], "s int, name string, source_size long, target double, quota long, digits int"))
     placed = base.join(sources, base["source"].eqNullSafe(sources["name"])).withColumn("bucket", F.expr("substring(digest, 1, digits)"))
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("s", "bucket").agg(F.sum("size").alias("w")).select("s", "bucket", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("start"))
+    starts = placed.groupBy("s", "bucket").agg(F.sum(F.col("size") * F.col("m")).alias("w")).select("s", "bucket", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("s", "bucket").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     cut = ["doc_id", "source", "size", "source_size", "target", "s"]
-    line = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["s", "bucket"]).select(*cut, (F.col("start") + F.col("inside")).alias("at"))
+    line = placed.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("m")).over(inside), F.lit(0))).join(starts, ["s", "bucket"])
+    line = line.withColumn("nth", F.explode(F.expr("sequence(0, m - 1)"))).select(*cut, (F.col("start") + F.col("inside") + F.col("nth") * F.col("size")).alias("at"))
     line = stored(line, "mix-line")
     plan = []
     for k, ((_, n, _), q) in enumerate(zip(goals, quota)):
@@ -118,20 +125,29 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     slots = slots.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
     # words of the source's line that this slot takes: up to the block's end, the line's end or the quota
     slots = slots.withColumns({"block": F.expr("rank % blocks"), "upto": F.expr(f"least((rank % blocks + 1) * {block}, source_size, quota - rank div blocks * source_size)")})
-    times = slots.groupBy("s", "block", "upto").agg(F.count("*").alias("times"))
-    met = pieces.join(times, ["s", "block"], "left")
-    words_here = F.coalesce(F.col("times") * F.greatest(F.lit(0), F.least("hi", "upto") - F.col("lo")), F.lit(0))
-    taken = met.groupBy(*cut, "at").agg(F.sum(words_here).cast("long").alias("taken"))
-    out = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    return taken.select(*out).unionByName(line.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
+    # a block has MOST_REPEATS slots at most, and one more in part
+    uses = slots.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("t", "upto"))).alias("slots"))
+    met = pieces.join(uses, ["s", "block"], "left").withColumn("slots", F.filter("slots", lambda x: x["upto"] > F.col("lo")))
+    words_here = F.aggregate(F.coalesce("slots", F.array().cast("array<struct<t:bigint,upto:bigint>>")), F.lit(0).cast("long"), lambda n, x: n + F.least("hi", x["upto"]) - F.col("lo"))
+    first = F.col("block") == F.expr(f"at div {block}")
+    taken = met.groupBy(*cut, "at").agg(
+        F.sum(words_here).alias("taken"), F.min(F.get("slots", F.lit(0))["t"]).alias("first_slot"), F.max(F.when(first, F.transform("slots", lambda x: x["t"]))).alias("uses")
+    )
+    out = ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "uses"]
+    none = {"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long"), "uses": F.lit(None).cast("array<bigint>")}
+    return taken.select(*out).unionByName(line.where("size = 0").withColumns(none).select(*out))
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
-    """`df` as the mix has it: each row as many times as its words are taken, to the nearest whole
-    document (a source takes part of one document at most)."""
+    """`df` as the mix has it, in the order of its slots: each row as many times as its words are taken, to
+    the nearest whole document (a source takes part of one document at most), each time where the slot
+    that takes its first word stands. Rows of one id, source and size share what is taken of them evenly."""
     got = mix(df, **options)
-    copies = got.where("size > 0").groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count("*") / F.first("size") + 0.5).cast("int").alias("_copies"))
-    copies = copies.where("_copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_w"), "_copies")
+    copies = got.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("_taken"), F.min_by("uses", "first_slot").alias("_uses"))
+    rows = got.where("size > 0").groupBy("doc_id", "source", "size").agg(F.count("*").alias("_rows"))
+    same = [copies[c].eqNullSafe(rows[c]) for c in ("doc_id", "source", "size")]
+    copies = copies.join(rows, same[0] & same[1] & same[2]).select(copies["doc_id"].alias("_i"), copies["source"].alias("_s"), copies["size"].alias("_w"), F.floor(F.col("_taken") / F.col("_rows") / copies["size"] + 0.5).cast("int").alias("_copies"), "_uses")
     keyed = df.withColumn("_words", words(F.col(options.get("text_col", "text"))))
     same = keyed[options.get("id_col", "doc_id")].cast("long").eqNullSafe(F.col("_i")) & keyed[options.get("source_col", "source")].eqNullSafe(F.col("_s")) & (F.col("_words") == F.col("_w"))
-    return keyed.join(copies, same).withColumn("_n", F.explode(F.expr("sequence(1, _copies)"))).select(*df.columns)
+    met = keyed.join(copies.where("_copies > 0"), same).withColumn("_slot", F.explode(F.expr("slice(_uses, 1, _copies)")))
+    return met.repartitionByRange("_slot").sortWithinPartitions("_slot", "_i").select(*df.columns)

@@ -78,15 +78,15 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.rid <> c.rid
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
 
@@ -103,12 +103,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 OP10_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS digest,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS n, (ARRAY[5, 2, 1])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source
@@ -120,14 +120,33 @@ WITH d AS (
 ), t AS (
   SELECT source, n, CASE WHEN w * l.rest > 3 * n * l.free THEN CAST(3 * n AS DOUBLE) ELSE CAST(w * l.rest AS DOUBLE) / l.free END AS target FROM s, l
 ), q AS (
-  SELECT *, least(3 * n, CAST(floor(target + 0.5) AS BIGINT)) AS quota FROM t
-), o AS (
-  SELECT d.*, q.n, q.target, q.quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+  SELECT *, least(3 * n, CAST(floor(target + 0.5) AS BIGINT)) AS quota, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s, (n + 4095) // 4096 AS blocks FROM t
+), p AS (
+  SELECT *, CASE WHEN n = 0 THEN 0 ELSE quota // n * blocks + (quota % n + 4095) // 4096 END AS need,
+    sum(quota) OVER (ORDER BY s) / greatest(1.0, CAST(sum(quota) OVER () AS DOUBLE)) AS bound FROM q
+), g AS (
+  SELECT t, (SELECT count(*) FROM p WHERE bound <= CAST((t % 2147483648) * 1327217885 % 2147483648 AS DOUBLE) / CAST(2147483648 AS DOUBLE) AND s < (SELECT max(s) FROM p)) AS s
+  FROM (SELECT unnest(range(CAST((SELECT sum(need) FROM p) AS BIGINT))) AS t)
+), h AS (
+  SELECT t, s, row_number() OVER (PARTITION BY s ORDER BY t) - 1 AS rank FROM g
+), u AS (
+  SELECT t, s, rank FROM h JOIN p USING (s) WHERE rank < need
+  UNION ALL
+  SELECT (SELECT sum(need) FROM p) + k AS t, s, given + k AS rank
+  FROM (SELECT s, given, unnest(range(CAST(need - given AS BIGINT))) AS k FROM (SELECT p.s, need, (SELECT count(*) FROM g WHERE g.s = p.s) AS given FROM p) WHERE need > given)
+), f AS (
+  SELECT t, u.s, rank % blocks AS block, least((rank % blocks + 1) * 4096, n, quota - rank // blocks * n) AS upto FROM u JOIN p USING (s)
+), o AS MATERIALIZED (
+  SELECT d.*, p.s, p.n, p.target, row_number() OVER () AS rid, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), c AS (
+  SELECT rid, s, block, greatest(pos, block * 4096) AS lo, least(pos + size, (block + 1) * 4096) AS hi
+  FROM (SELECT *, unnest(range(CAST(pos // 4096 AS BIGINT), CAST((pos + size - 1) // 4096 + 1 AS BIGINT))) AS block FROM o WHERE size > 0)
+), m AS (
+  SELECT rid, sum(least(hi, upto) - lo) AS taken, min(t) AS first_slot FROM c JOIN f USING (s, block) WHERE upto > lo GROUP BY rid
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target,
-  CAST(CASE WHEN size = 0 THEN 0 ELSE (quota // n) * size + greatest(0, least(size, quota % n - pos)) END AS BIGINT) AS taken
-FROM o
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(first_slot AS BIGINT) AS first_slot
+FROM o LEFT JOIN m USING (rid)
 """
 
 
