@@ -17,6 +17,8 @@ a further ball of each token drawn, since words recur within a document. The mar
 the document is then G(A) / G(A + T) * prod_w G(A P(w) + n_w) / G(A P(w)), with G the gamma function,
 T tokens and n_w uses of w; it needs no order and so adds up word by word.
 
+lattice_score is the plain marginal without counts and urn: every word by Q alone, P(end) as above.
+
 Counts are pre-aggregated in tasks, then by word. Words that make up 1/COMMON of all tokens or more
 (so COMMON at most) go along with the tasks; all others are joined by word, so no word is hot.
 
@@ -282,10 +284,10 @@ def _uses(log_p: float, n: int) -> float:
     return first + math.lgamma(a + n) - math.lgamma(a + 1)
 
 
-_RARE = "doc_id long, mark long, held_out boolean, tokens long, known long, base double, score double, word binary, tf long"
+_RARE = "doc_id long, mark long, held_out boolean, tokens long, known long, base double, score double, lattice double, word binary, tf long"
 
 
-def _split(common: dict[bytes, tuple[int, float, float]]) -> Callable:
+def _split(common: dict[bytes, tuple[int, float, float, float]]) -> Callable:
     """A row for each document with what its common words add up to, and one for each other word. The
     former have tokens, and in place of a word what no word can be, different by document, so that the
     join by word deals them out."""
@@ -296,15 +298,16 @@ def _split(common: dict[bytes, tuple[int, float, float]]) -> Callable:
             for t in b.column("text"):
                 tf = Counter(_words(t.as_py()))
                 tf[END] += 1
-                known, base, uses, rare = 0, [], [], []
+                known, base, uses, plain, rare = 0, [], [], [], []
                 for w, k in tf.items():
                     if got := common.get(w):
                         known += k if got[0] else 0
                         base.append(k * got[1])
                         uses.append(_uses(got[2], k))
+                        plain.append(k * got[3])
                     else:
                         rare.append(w)
-                sums.append((sum(tf.values()), known, math.fsum(base), math.fsum(uses)))
+                sums.append((sum(tf.values()), known, math.fsum(base), math.fsum(uses), math.fsum(plain)))
                 words += rare
                 times += map(tf.__getitem__, rare)
                 counts.append(len(rare))
@@ -320,22 +323,25 @@ def _split(common: dict[bytes, tuple[int, float, float]]) -> Callable:
 
 
 def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `df`."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score for every row of `df`."""
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     counts = stored(docs.select("held_out", "text").mapInArrow(_count, _COUNTS).groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "word-counts")
     once = [F.sum((F.col("c") == k).cast("long")) for k in (1, 2)]
-    n, v, total, n1, n2 = (x or 0 for x in counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum("n"), *once).first())
+    ends = F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))
+    n, v, total, n_end, n1, n2 = (x or 0 for x in counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum("n"), ends, *once).first())
     table = _Table(n, v, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
     with open(model, "rb") as f:
         pieces, piece_score, end = fit(counts, f.read(), rounds)
     measured = counts.mapInArrow(_measure(pieces, piece_score, end), f"{_COUNTS}, q double")
-    words = stored(measured.select("word", "c", "n", table.base(F.col("c")).alias("w_base"), table.log(F.col("c"), F.col("q"), F.col("word")).alias("w_log")), "word-scores")
+    p_end = (n_end + 1) / (n + 2)
+    plain = F.when(F.col("word") == F.lit(END), math.log(p_end)).otherwise(F.col("q") + math.log1p(-p_end))
+    words = stored(measured.select("word", "c", "n", table.base(F.col("c")).alias("w_base"), table.log(F.col("c"), F.col("q"), F.col("word")).alias("w_log"), plain.alias("w_lat")), "word-scores")
     often = F.col("n") * COMMON >= total
     # words with 1/COMMON of all tokens each: COMMON at most
-    common = {bytes(r.word): (r.c, r.w_base, r.w_log) for r in words.where(often).collect()}
+    common = {bytes(r.word): (r.c, r.w_base, r.w_log, r.w_lat) for r in words.where(often).collect()}
     split = docs.select("doc_id", F.xxhash64("text").alias("mark"), "held_out", "text").mapInArrow(_split(common), _RARE)
-    rare = words.where(~often).select(F.col("word").alias("w"), "c", "w_base", "w_log")
+    rare = words.where(~often).select(F.col("word").alias("w"), "c", "w_base", "w_log", "w_lat")
     near = split.join(rare, split["word"] == rare["w"], "left")
     k, balls = F.col("tf"), ALPHA * F.exp("w_log")
     again = F.when(k == 1, F.lit(0.0)).otherwise(log_gamma(balls + k) - log_gamma(balls + 1))
@@ -346,6 +352,7 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         F.sum(F.col("known") + F.when(F.col("c") > 0, k).otherwise(0)).alias("known"),
         F.sum(F.col("base") + F.coalesce(k * F.col("w_base"), F.lit(0.0))).alias("base"),
         F.sum(F.col("score") + F.coalesce(uses, F.lit(0.0))).alias("score"),
+        F.sum(F.col("lattice") + F.coalesce(k * F.col("w_lat"), F.lit(0.0))).alias("lattice"),
     )
     each = F.explode(F.expr("sequence(1, cast(copies as int))"))
     m = F.col("copies")
@@ -357,4 +364,5 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") / m).alias("base_score"),
         ((F.col("score") / m + math.lgamma(ALPHA) - log_gamma(ALPHA + F.col("tokens") / m)) / math.log(10)).alias("score"),
+        (F.col("lattice") / m / math.log(10)).alias("lattice_score"),
     )
