@@ -1,15 +1,18 @@
 """Language ID by compression (operator 8).
 
 For each language a few raw-content zstandard dictionaries are cut from a bounded sample of labelled
-documents. A text is encoded block by block, whole, with every dictionary; the language with the
-smallest total wins. Where the margin between the best and the next
-is narrow, the dictionary that holds more of the text's words decides; if none does, the text is
-rejected.
+documents. A text is encoded block by block, whole, with the first dictionary of every language; the
+language with the smallest total wins. Where the margin between the best and the next is narrow, the
+sizes under the next dictionaries are added, one after the other; a margin that stays narrow rejects the
+text (it keeps the smallest as its language).
 
 The sample: SAMPLE documents a language, those with the smallest digest of their id, preferably of
 200 to SNIPPET bytes (of a longer one SNIPPET characters at most go into a dictionary). It is all
 that is fitted, and does not grow with the table.
 
+The dictionaries of all languages go to the driver and along with the tasks, 256 KB a language at most, so
+over MOST_LANGUAGES of them are refused.
+
 Cases: null texts and texts without a letter are `und`, score 0, rejected; with no labelled
 documents at all every text is `und`; full ties go to the first language by name; repeated rows give
 repeated results; an empty table gives none; further columns are ignored.
@@ -27,32 +30,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches
+from .common import sliced, small_batches
 
 SAMPLE = 120
 SNIPPET = 4000
 DICTIONARY = 1 << 16
 BLOCK = 4096
-#: Every text is encoded at this level, with so many dictionaries a language.
+#: Every text is encoded at this level.
 LEVEL = 9
-USE = 1
+MOST_LANGUAGES = 1000
 #: A best size within this share of the next is a narrow margin.
 NARROW = 0.002
 OUT = ("lang_pred", "score", "rejected")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def words(text: str) -> list[str]:
+    """The runs of letters of a text, lower case."""
+    # the pattern also lets through numerals such as ½, which are no letters
+    found = LETTERS.findall(text.lower())
+    return found if all(map(str.isalpha, found)) else [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
+
+
 def plain(text: str) -> bytes:
     """The words of a text, lower case, letters only, a space before and after each: markup and digits,
     which tell no language, cost nothing."""
-    words = LETTERS.findall(text.lower())
-    return f" {' '.join(words)} ".encode() if words else b""
+    own = words(text)
+    return f" {' '.join(own)} ".encode() if own else b""
 
 
 def vocabulary(text: str) -> bytes:
     """The distinct words of a text as `plain` gives them, in order of appearance: a dictionary needs no word twice."""
-    words = dict.fromkeys(LETTERS.findall(text.lower()))
-    return f" {' '.join(words)} ".encode() if words else b""
+    own = dict.fromkeys(words(text))
+    return f" {' '.join(own)} ".encode() if own else b""
 
 
 def learn(df: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[bytes]]:
@@ -61,6 +71,8 @@ def learn(df: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "
     long = F.octet_length(text_col)
     order = Window.partitionBy("lang").orderBy((~long.between(200, SNIPPET)).cast("int"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), text_col)
     ranked = fit.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SNIPPET).alias("text"), F.row_number().over(order).alias("rank"))
+    if fit.select(lang_col).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     out: dict[str, list[bytes]] = {}
     for r in sorted(ranked.where(F.col("rank") <= SAMPLE).collect(), key=lambda r: (r.lang, r["rank"])):
         out.setdefault(r.lang, []).append(vocabulary(r.text))
@@ -76,19 +88,14 @@ def _cut(whole: bytes) -> list[bytes]:
 class Classifier:
     def __init__(self, dictionaries: dict[str, list[bytes]]):
         self.names = sorted(dictionaries)
-        self.raw = [b"".join(dictionaries[n]) for n in self.names]
         least = min((len(x) for x in dictionaries.values()), default=0)
-        self.coders = [[self._coder(raw, LEVEL) for raw in dictionaries[n][: min(USE, least)]] for n in self.names]
+        self.coders = [[self._coder(dictionaries[n][k]) for n in self.names] for k in range(least)]
 
     @staticmethod
-    def _coder(raw: bytes, level: int) -> Callable[[bytes], bytes]:
+    def _coder(raw: bytes) -> Callable[[bytes], bytes]:
         d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        return zstd.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-
-    def sizes(self, data: bytes) -> list[int]:
-        blocks = [data[lo : lo + BLOCK] for lo in range(0, len(data), BLOCK)]
-        return [sum(len(f(b)) for f in own for b in blocks) for own in self.coders]
+        d.precompute_compress(level=LEVEL)
+        return zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, rejected."""
@@ -97,24 +104,21 @@ class Classifier:
             return "und", 0.0, True
         if len(self.names) == 1:
             return self.names[0], 1.0, False
-        size = self.sizes(data)
-        best = min(range(len(size)), key=size.__getitem__)
-        margin = 1 - size[best] / min(x for k, x in enumerate(size) if k != best)
-        if margin >= NARROW:
-            return self.names[best], float(margin / (margin + 0.05)), False
-        # a few bytes decide nothing: among the smallest, the dictionary that holds most of the words
-        close = [k for k, x in enumerate(size) if 1 - size[best] / x < NARROW]
-        words = [b" " + w + b" " for w in dict.fromkeys(data.split())]
-        held = {k: sum(w in self.raw[k] for w in words) for k in close}
-        most = max(close, key=held.__getitem__)
-        single = sum(h == held[most] for h in held.values()) == 1
-        return self.names[most], 0.01 if single else 0.0, not single
+        blocks = [data[lo : lo + BLOCK] for lo in range(0, len(data), BLOCK)]
+        size = [0] * len(self.names)
+        for coders in self.coders:
+            size = [s + sum(len(f(b)) for b in blocks) for s, f in zip(size, coders)]
+            best, next_ = sorted(size)[:2]
+            if 1 - best / next_ >= NARROW:
+                break
+        margin = 1 - best / next_
+        return self.names[size.index(best)], float(margin / (margin + 0.05)), margin < NARROW
 
 
 def _classify(dictionaries: dict[str, list[bytes]]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Classifier(dictionaries)
-        for b in batches:
+        for b in sliced(batches, 2000):
             got = [own.classify(t.as_py()) for t in b.column(b.num_columns - 1)]
             lang, score, rejected = zip(*got) if got else ((), (), ())
             keep = [b.column(k) for k in range(b.num_columns - 1)]
@@ -124,8 +128,7 @@ def _classify(dictionaries: dict[str, list[bytes]]) -> Callable:
 
 
 def predict(df: DataFrame, dictionaries: dict[str, list[bytes]], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` with lang_pred, score and rejected (columns of these names are not kept). The dictionaries go along with the
-    tasks: 256 KB a language at most."""
+    """The columns `keep` with lang_pred, score and rejected (columns of these names are not kept)."""
     small_batches(df.sparkSession)
     keep = [c for c in keep if c not in OUT]
     given = df.select(*keep, F.col(text_col).alias("_text"))
