@@ -138,40 +138,56 @@ def _corpus_pages(blocks):
 
 @query
 def c_repeated_groups(spark, d):
-    blocks = A.line_blocks(spark, d, corpus=True)
+    blocks = A.line_blocks(spark, d)
     got = classify.repeated_groups(classify.repeated_candidates(blocks), _corpus_pages(blocks))
     return got.select("band", "signature", "on_pages", "n", _r("spread"), _r("mean_edge"), _r("confidence"))
 
 
 @query
 def c_repeated(spark, d):
-    blocks = A.line_blocks(spark, d, corpus=True)
+    blocks = A.line_blocks(spark, d)
     return classify.repeated(blocks, _corpus_pages(blocks)).select("id", "type", _r("confidence"))
 
 
 @query
 def c_page_numbers(spark, d):
-    return classify.page_numbers(A.line_blocks(spark, d)).select("document_id", "id", _r("confidence"))
+    return classify.page_numbers(A.marked_blocks(spark, d)).select("document_id", "id", _r("confidence"))
+
+
+def _sizes(blocks):
+    return blocks.select("document_id").distinct().withColumn("body_size", F.lit(11.0))
 
 
 @query
 def c_references(spark, d):
-    blocks = A.line_blocks(spark, d)
-    sizes = blocks.select("document_id").distinct().withColumn("body_size", F.lit(11.0))
-    return classify.references(blocks, sizes).select("document_id", "id", "type", _r("confidence"))
+    blocks = A.marked_blocks(spark, d)
+    return classify.references(blocks, _sizes(blocks)).select("document_id", "id", "type", _r("confidence"))
+
+
+@query
+def c_density_runs(spark, d):
+    """Runs of entries where nothing is claimed beforehand."""
+    blocks = A.marked_blocks(spark, d)
+    return classify.density_runs(blocks, blocks.where("false")).select("document_id", "id", _r("confidence"), F.size("evidence").alias("n_evidence"))
+
+
+@query
+def c_watermarks(spark, d):
+    blocks = A.watermark_blocks(spark, d)
+    return classify.watermarks(blocks, _sizes(blocks), _corpus_pages(blocks)).select("document_id", "id", _r("confidence"), F.size("evidence").alias("n_evidence"))
 
 
 @query
 def c_front_matter(spark, d):
-    return classify.front_matter(A.line_blocks(spark, d)).select("document_id", "id", "reason")
+    return classify.front_matter(A.marked_blocks(spark, d)).select("document_id", "id", "reason")
 
 
 @query
 def c_arbitrate(spark, d):
-    blocks = A.line_blocks(spark, d, corpus=True)
-    found = classify.repeated(blocks, _corpus_pages(blocks))
-    won = classify.arbitrate(blocks, [found, classify.page_numbers(blocks)], classify.front_matter(blocks))
-    return won.select("id", "type", _r("confidence"), F.size("classification_evidence").alias("n_evidence"))
+    blocks = A.marked_blocks(spark, d)
+    found = [classify.repeated(blocks, _corpus_pages(blocks)), classify.page_numbers(blocks), classify.references(blocks, _sizes(blocks))]
+    won = classify.arbitrate(blocks, found, classify.front_matter(blocks))
+    return won.select("document_id", "id", "type", _r("confidence"), F.size("classification_evidence").alias("n_evidence"))
 
 
 # --- inclusion
@@ -234,6 +250,36 @@ def q_queue(spark, d):
     return q.select("document_id", "id", "queue_index", "speech_text", "region_type")
 
 
+@query
+def q_reader_paragraphs(spark, d):
+    r = A.html_regions(spark, d)
+    sents = r.select("document_id", F.concat("id", F.lit(":s0")).alias("id"), F.col("id").alias("region_id"), F.concat("id", F.lit(":para0")).alias("paragraph_id"), "page_number", "text", F.col("reading_order").alias("document_index"))
+    applied = inclusion.apply_mode(r, "clean")
+    got = reading.reader_paragraphs(applied, sents, reading.reading_queue(applied, sents))
+    first = F.get("sentences", F.lit(0))
+    return got.select("document_id", "paragraph_id", "region_type", "page_number", "included", "uncertain", F.size("sentences").alias("n_sentences"), first["spoken"].alias("spoken"), F.size(first["skipped"]).alias("n_skipped"))
+
+
+@query
+def q_segments(spark, d):
+    """Displayed text cut into what is spoken and what is struck out."""
+    p = A.doc_lines(spark, d).withColumn("p", speech.projection(F.col("text"), None, {"read_parenthetical": False}))
+    each = p.select("document_id", "line_no", F.posexplode(speech.segments(F.col("text"), F.col("p.skipped"))).alias("segment", "s"))
+    return each.select("document_id", "line_no", "segment", "s.text", "s.skipped", "s.start")
+
+
+@query
+def q_announcements(spark, d):
+    """A queue in which each figure of a page is announced before the first entry of its paragraph."""
+    q = A.conv_queue(spark, d)
+    none = F.array().cast("array<struct<start:int,end:int,text:string,reason:string>>")
+    q = q.withColumns({"skipped": none, "anchors": F.array().cast("array<struct<spoken:int,display:int>>")}).drop("queue_index")
+    at = q.groupBy("document_id", "paragraph_id").agg(F.min("page_number").alias("page_number")).where("page_number % 2 = 1")
+    kind = F.when(F.col("page_number") % 4 == 1, "figure").otherwise("drawn-area")
+    placed = at.select("document_id", "paragraph_id", kind.alias("kind"), "page_number", F.lit(0).alias("marker_index"), F.concat(F.lit("marker:"), "paragraph_id").alias("id"))
+    return reading.announcements(q, placed).select("document_id", "id", "queue_index", "page_number", "speech_text", "announcement")
+
+
 def _footnotes(mode: str) -> None:
     def run(spark, d):
         return reading.order_footnotes(A.conv_queue(spark, d), mode).select("document_id", "id", "queue_index")
@@ -547,6 +593,41 @@ def g_lines(spark, d):
     return layout.lines(items, pages).select("document_id", "page_number", "line_index", "text", "x", "baseline", "font_size")
 
 
+@query
+def g_block_type(spark, d):
+    """Blocks of each page, tables cut out."""
+    lines = A.page_lines(spark, d)
+    pages = lines.select("document_id", "page_number").distinct().select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    return layout.blocks(lines, pages).select("document_id", "page_number", "block_index", "id", "type", _r("confidence"), F.size("lines").alias("n_lines"), F.coalesce(F.size("table_rows"), F.lit(0)).alias("n_rows"), "y", "height")
+
+
+@query
+def g_page_geometry(spark, d):
+    """Columns of words, page by page: the bands that items vote for."""
+    items = _page_items(spark, d)
+    pages = items.select("document_id", "page_number").distinct().select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    got = layout.columns(items, pages)
+    return got.select("document_id", "page_number", F.size("columns").alias("n_columns"), F.get("columns", F.lit(0))["start"].alias("start"), F.get("columns", F.lit(0))["end"].alias("end"), _r("confidence"))
+
+
+@query
+def g_drawn(spark, d):
+    """Figures and drawn areas of synthetic drawing operators, one page a document."""
+    n = F.col("doc_id")
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), n.alias("n"))
+    op = lambda k, name, *args: F.struct(F.lit(k).alias("op_index"), F.lit(name).alias("op"), F.array(*(a.cast("double") for a in args)).cast("array<double>").alias("args"))
+    lit, side = F.lit, (F.col("n") % 7 * 20 + 10).cast("double")
+    ops = F.array(
+        op(0, "save"), op(1, "transform", side * 2, lit(0), lit(0), side, lit(50), F.col("n") % 10 * 30 + 200), op(2, "paint_image"),
+        op(3, "transform", lit(1), lit(0), lit(0), lit(0.5), lit(0.25), lit(0)), op(4, "paint_mask"), op(5, "restore"),
+        op(6, "construct_path", lit(300), lit(100), lit(300) + side * 2, lit(100) + side), op(7, "construct_path", lit(320), lit(110), lit(320) + side * 2, lit(110) + side),
+        op(8, "construct_path", lit(0), lit(0), lit(600), lit(700)), op(9, "transform", lit(0), lit(1), lit(-1), lit(0), lit(400), lit(500)), op(10, "construct_path", lit(0), lit(0), side, side * 2),
+    )
+    rows = docs.select("document_id", lit(1).alias("page_number"), F.explode(ops).alias("o")).select("document_id", "page_number", "o.*")
+    pages = docs.select("document_id", lit(1).alias("page_number"), lit(612.0).alias("width"), lit(792.0).alias("height"))
+    return layout.drawn(rows, pages).select("document_id", "page_number", "kind", "rect_index", _r("x"), _r("y"), _r("width"), _r("height"))
+
+
 # --- flagship
 
 
