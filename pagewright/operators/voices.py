@@ -173,8 +173,8 @@ def guard(requests: DataFrame, most_chars: int = 2500) -> DataFrame:
 
 
 def responses(results: DataFrame) -> DataFrame:
-    """Synthesis results as they are sent: audio as text, timing untouched."""
-    return results.withColumn("audio", F.base64("audio"))
+    """Synthesis results as they are sent: audio as text without line ends, timing untouched."""
+    return results.withColumn("audio", F.translate(F.base64("audio"), "\r\n", ""))
 
 
 class Registry:

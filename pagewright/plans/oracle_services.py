@@ -6,7 +6,7 @@ from __future__ import annotations
 from ..constants import BULLETS, CAPTION, ENTRY_SIGNALS, FRONT_MATTER, LIST_PREFIX, SENTENCE_END, WS
 from ..operators.state import TRANSITIONS
 from ..operators.voices import CAPABILITIES, ERRORS, NOVELTY
-from .oracles import APPLIED, BOXES, CHUNKS, GEOMETRY, LINES, QUEUE, REGIONS, _normal, _NUMBER, form, has, heading, lit, score, signature, spoken, sub, trim, trim_end, words_of
+from .oracles import APPLIED, BOXES, CHUNKS, GEOMETRY, LINES, OCR, QUEUE, REGIONS, _normal, _NUMBER, fnv, form, has, heading, lit, score, signature, spoken, sub, trim, trim_end, words_of
 
 _AUTHORS = (
     rf"\([{WS}]*(e\.g\.,?[{WS}]*|see[{WS}]+|cf\.[{WS}]*)?[A-ZÀ-ÖØ-ÞĀ-Ɏ](\p{{L}}|['’-])+([{WS}]+(et[{WS}]+al\.?|and|&|,)[{WS}]*(\p{{L}}|['’.-])*)*,?[{WS}]*(19|20)[0-9]{{2}}[a-z]?"
@@ -231,3 +231,75 @@ drawings AS (SELECT *, s >= 612 * 0.06::DOUBLE AND 2 * s * s BETWEEN 612 * 792 *
 SELECT document_id, 1 AS page_number, 'figure' AS kind, 0 AS rect_index, x, y, CASE WHEN second THEN greatest(width, width * 0.25 + width) ELSE width END AS width, height FROM figures WHERE big
 UNION ALL SELECT document_id, 1, 'drawing', CAST(row_number() OVER (PARTITION BY document_id ORDER BY y DESC) - 1 AS INTEGER), x, y, width, height FROM drawings WHERE big""",
 }
+
+# --- services around reading
+
+_XML = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_VOICES = """v AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS n, CASE WHEN event_id % 11 = 0 THEN 'Zarvox' WHEN event_id % 5 = 0 THEN 'Zoe (Premium)' ELSE 'Voice ' || event_id END AS name, ['en-GB', 'en-US', 'fr-FR', 'de-DE'][1 + event_id % 4] AS tag FROM events)"""
+_HALVES = """halves AS (
+  SELECT document_id, id, s AS sentence_index, CASE WHEN s = 0 THEN 0 ELSE length(text) // 2 END AS start, CASE WHEN s = 0 THEN length(text) // 2 ELSE length(text) END AS stop, text FROM queue, (VALUES (0), (1)) k(s)
+)"""
+_PAPERS = """plain AS (SELECT document_id, queue_index, regexp_replace(text, '[^A-Za-z0-9 .,]+', '', 'g') AS t FROM queue),
+runs AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY queue_index) AS INTEGER) AS page_number, queue_index, string_split(t, ' ')[:30] AS w FROM plain),
+words AS (SELECT document_id, page_number, queue_index, unnest(range(len(w))) AS k, unnest(w) AS text FROM runs)"""
+SQL |= {
+    "n_ssml": f"""WITH {QUEUE}, r AS (SELECT *, round_even((1 + (queue_index % 5 - 2) * 0.125::DOUBLE - 1) * 100, 0) AS rate FROM queue)
+SELECT document_id, id, '<speak version="1.0" xmlns="http://www.w3.org/2001/10/synthesis" xml:lang="en-US"><voice name="a &quot;&lt;b&gt;&amp;' || queue_index || '"><prosody rate="' || CASE WHEN rate < 0 THEN '' ELSE '+' END || CAST(rate AS INTEGER) || '%">' || {_XML.format('text')} || '</prosody></voice></speak>' AS ssml FROM r""",
+    "n_uploads": """WITH e AS (SELECT *, CAST(trunc(value * 1048576) AS BIGINT) AS size FROM events)
+SELECT event_id, CASE WHEN size > 40 * 1048576 THEN 'That file is ' || CAST(CAST(round_even(size / 1048576.0::DOUBLE, 0) AS BIGINT) AS VARCHAR) || ' MB, which is larger than the 40 MB limit for this deployment.' END AS refusal,
+  event_type || '_e' || event_id || CASE WHEN event_id % 3 = 0 THEN '_.pdf' ELSE '.pdf' END AS file, CAST(event_id % 7 * 1048576 AS BIGINT) AS bytes, 'a|' || event_type || '|b' AS origins, event_id % 2 = 0 AND event_id % 4 <> 0 AS logs,
+  ['Exact word timing from the speech provider', 'Exact word timing from your browser', 'Estimated word position (the provider did not supply word timings)', 'Sentence-level highlighting only'][1 + event_id % 4] AS timing FROM e""",
+    "n_fingerprints": f"""WITH {QUEUE}, h AS (SELECT document_id, id, octet_length(encode(text)) AS size, {fnv('text')} AS whole FROM queue), f AS (SELECT document_id, id, {fnv("(length(CAST(size AS VARCHAR)) || ':' || size || '|' || length(id) || ':' || id || '|16:' || whole)")} AS fingerprint FROM h)
+SELECT document_id, id, fingerprint, 'doc-' || fingerprint[:12] AS file_id FROM f""",
+    "s_pdf_items": f"""WITH {QUEUE}, {_PAPERS} SELECT document_id, page_number, CAST(row_number() OVER (PARTITION BY document_id, page_number ORDER BY k) - 1 AS INTEGER) AS source_index, text, 54.0::DOUBLE + 90 * (k % 5) AS x, 700.0::DOUBLE - 14 * (k // 5) AS y, 10.0::DOUBLE + queue_index % 3 AS font_size, 'ltr' AS direction FROM words WHERE text <> ''""",
+    "s_pdf_pages": f"""WITH {QUEUE}, {_PAPERS} SELECT document_id, page_number, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, 0 AS rotation, CAST(3 AS BIGINT) AS n_ops, 150.0::DOUBLE + queue_index AS "right" FROM runs""",
+    "s_pdf_errors": f"""WITH {QUEUE} SELECT document_id, CAST(s AS INTEGER) AS state, s IN (0, 3) AS is_pdf, CASE s WHEN 1 THEN 'That file is empty.' WHEN 2 THEN 'That file is not a PDF.' WHEN 3 THEN 'That PDF looks incomplete or damaged.' END AS refusal FROM (SELECT DISTINCT document_id FROM queue), (VALUES (0), (1), (2), (3)) k(s)""",
+    "t_marker_spans": f"""WITH {QUEUE}, {_HALVES}, spans AS (SELECT document_id, id, p - 2 AS a, p + 3 AS b FROM (SELECT document_id, id, unnest(range(0, CAST(length(text) + 1 AS BIGINT), 7)) AS p FROM queue) WHERE p % 4 = 1),
+met AS (SELECT h.*, greatest(a, start) AS x, least(b, stop) AS y FROM halves h JOIN spans USING (document_id, id) WHERE b > start AND a < stop),
+cut AS (SELECT document_id, id, sentence_index, text[x + 1:y] AS part, x - start AS s, y - start AS e FROM met),
+ends AS (SELECT document_id, id, sentence_index, s + length(part) - length({sub('part', f'^[{WS}]+', '')}) AS a, e - length(part) + length({trim_end('part')}) AS b FROM cut)
+SELECT document_id, id, CAST(sentence_index AS INTEGER) AS sentence_index, string_agg(a || '-' || b, ',' ORDER BY a, b) AS spans FROM ends WHERE b > a GROUP BY ALL""",
+    "t_transformations": f"""WITH {QUEUE}, {_HALVES}, log AS (SELECT document_id, id, unnest(range(0, CAST(length(text) + 1 AS BIGINT), 5)) AS "offset" FROM queue)
+SELECT document_id, id, CAST(sentence_index AS INTEGER) AS sentence_index, CAST("offset" AS INTEGER) AS "offset" FROM halves JOIN log USING (document_id, id) WHERE "offset" BETWEEN start AND stop""",
+    "m_overrides": f"""WITH {REGIONS}, {APPLIED}, after AS (
+  SELECT document_id, id, CASE WHEN type = 'footer' THEN 'include' ELSE 'exclude' END AS override FROM regions WHERE confidence = 0.9 AND reading_order % 3 = 2 UNION ALL SELECT document_id, id, 'include' FROM regions WHERE reading_order % 3 = 0)
+SELECT document_id, id, override, 'changed' AS step FROM after
+UNION ALL SELECT a.document_id, a.id, override, 'restored' FROM after a JOIN applied p USING (document_id, id) WHERE p.included
+UNION ALL SELECT document_id, id, 'include', 'restored' FROM applied WHERE NOT included""",
+    "m_review_tabs": f"""WITH {REGIONS}, {APPLIED} SELECT 'all' AS tab, document_id, id FROM applied UNION ALL SELECT CASE WHEN included THEN 'included' ELSE 'excluded' END, document_id, id FROM applied
+UNION ALL SELECT 'uncertain', document_id, id FROM applied WHERE included AND confidence >= 0.5 AND confidence < 0.8 AND type NOT IN ('paragraph', 'heading')""",
+    "o_corrections": f"WITH {OCR} SELECT document_id, word_index, text AS original, text || '+' AS corrected FROM graded WHERE confidence < 0.4 AND word_index % 3 = 2",
+    "o_remaining": f"WITH {OCR} SELECT document_id, page_number, word_index FROM graded WHERE confidence < 0.75 AND NOT confidence < 0.4",
+    "o_gate": """SELECT event_id, CASE WHEN why IS NOT NULL THEN 'invalid_request' END AS error_code, why AS error_cause FROM (
+  SELECT event_id, CASE WHEN event_id % 4 <> 1 THEN 'consent' WHEN trunc(value) * (event_id % 3) = 0 THEN 'empty' WHEN trunc(value) * (event_id % 3) > 60 THEN 'too large' END AS why FROM events)""",
+    "o_flatten": f"""WITH {QUEUE}, w AS (SELECT document_id, queue_index, unnest(range(len(s))) AS k, unnest(s) AS text FROM (SELECT document_id, queue_index, string_split(text, ' ') AS s FROM queue))
+SELECT document_id, queue_index AS page_number, CAST(row_number() OVER (PARTITION BY document_id, queue_index ORDER BY k) - 1 AS INTEGER) AS word_index, text, k % 10 / 10.0::DOUBLE AS confidence, k * 10.0::DOUBLE AS x, 5.0::DOUBLE AS y, 8.0::DOUBLE AS width, 12.0::DOUBLE AS height, CASE WHEN queue_index % 2 = 0 THEN 'en' END AS language FROM w WHERE text <> ''""",
+    "tm_word_timings": f"""WITH {CHUNKS}, runs AS (SELECT document_id, page_number, id, at0, unnest(range(len(r))) AS k, unnest(r) AS t FROM (SELECT *, regexp_extract_all(text, {lit(f'[{WS}]+|[^{WS}]+')}) AS r FROM offs)),
+placed AS (SELECT *, sum(length(t)) OVER (PARTITION BY document_id, page_number, id ORDER BY k) AS e FROM runs),
+words AS (SELECT document_id, page_number, id, at0, e - length(t) AS s, e FROM placed WHERE NOT {has('t', f'^[{WS}]')})
+SELECT document_id, page_number AS chunk_index, id AS sentence_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", round((at0 + s) / 14.5::DOUBLE - min((at0 + s) / 14.5::DOUBLE) OVER w, 6) AS audio_start, round((at0 + e) / 14.5::DOUBLE - min((at0 + s) / 14.5::DOUBLE) OVER w, 6) AS audio_end FROM words WINDOW w AS (PARTITION BY document_id, page_number, id)""",
+    "tm_alignment": f"""WITH {QUEUE}, r AS (SELECT *, queue_index % 5 <> 4 AS spelt FROM queue WHERE text <> '')
+SELECT document_id, id, CAST(CASE WHEN spelt THEN {words_of('text')} ELSE 0 END AS INTEGER) AS n, CASE WHEN spelt AND {words_of('text')} > 0 THEN (length(text) - length({sub('text', f'^[{WS}]+', '')})) * 0.5::DOUBLE END AS first, CASE WHEN spelt AND {words_of('text')} > 0 THEN length({trim_end('text')}) * 0.5::DOUBLE END AS last FROM r""",
+    "tm_predicates": f"""WITH {QUEUE} SELECT document_id, id, queue_index % 6 IN (1, 3, 4) AS busy, queue_index % 6 IN (2, 3) AS playing, queue_index % 3 < 2 AS estimated, CAST({words_of('text[:queue_index * 9]')} AS INTEGER) AS word FROM queue""",
+    "v_report": f"""WITH {_VOICES}, m AS (SELECT *, list_filter([CASE WHEN n % 9 = 0 THEN 'default' END, CASE WHEN contains(name, '(Premium)') THEN 'premium/enhanced' END, CASE WHEN n % 2 <> 0 THEN 'over the network' END, CASE WHEN n = 7 THEN 'IN USE' END], lambda x: x IS NOT NULL) AS marks FROM v)
+SELECT session, n AS list_index, '  ' || name || ' · ' || tag || CASE WHEN len(marks) > 0 THEN ' · ' || array_to_string(marks, ', ') ELSE '' END AS line FROM m""",
+    "v_catalogue": f"""WITH {_VOICES}, own AS (SELECT session, 'v' || n AS id, 'browser' AS source, 1 AS k, n FROM v WHERE n % 50 = 0), every AS (SELECT * FROM own UNION ALL SELECT DISTINCT session, 's' || i, 'server', 0, i FROM own, (VALUES (0), (1)) x(i) WHERE CAST(session AS BIGINT) % 2 = 0)
+SELECT session, id, source, CAST(row_number() OVER (PARTITION BY session ORDER BY k, n) - 1 AS INTEGER) AS list_index FROM every""",
+    "v_envelopes": """SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'rate_limited' WHEN 3 THEN 'invalid_voice' ELSE 'internal_error' END AS code, CASE event_id % 4 WHEN 1 THEN 'm' || event_id WHEN 3 THEN 'v' ELSE 'The request failed.' END AS message,
+  CASE WHEN event_id % 4 = 3 THEN 'Choose' END AS recovery, event_id % 4 = 1 AS retryable, CAST(CASE WHEN event_id % 4 = 1 THEN event_id % 9 END AS INTEGER) AS retry_after_seconds FROM events""",
+    "v_speech_requests": """WITH r AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value / 20 ELSE 1.0::DOUBLE END AS speed, CASE event_id % 4 WHEN 0 THEN 'ogg' WHEN 1 THEN 'wav' ELSE 'mp3' END AS format FROM events)
+SELECT event_id, speed, 'en-US' AS language, format, array_to_string(list_filter([CASE WHEN event_id % 3 = 0 THEN 'text' END, CASE WHEN event_id % 5 = 0 THEN 'voiceId' END, CASE WHEN speed < 0.25 OR speed > 4 THEN 'speed' END, CASE WHEN event_id % 7 = 0 THEN 'cacheKey' END, CASE WHEN format = 'ogg' THEN 'format' END], lambda x: x IS NOT NULL), ',') AS invalid FROM r""",
+    "v_ocr_requests": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'image/gif' WHEN 1 THEN 'image/jpeg' ELSE 'image/png' END AS mime_type, event_id % 2 = 0 AS consent, 0 AS hints,
+  array_to_string(list_filter([CASE WHEN event_id % 3 = 0 THEN 'image' END, CASE WHEN event_id % 4 = 0 THEN 'mimeType' END, CASE WHEN event_id % 5 = 0 THEN 'pageNumber' END, CASE WHEN event_id % 7 = 0 THEN 'documentId' END], lambda x: x IS NOT NULL), ',') AS invalid FROM events""",
+    "v_responses": f"WITH {QUEUE} SELECT document_id, id, to_base64(encode(text)) AS audio, TRUE AS timed FROM queue",
+    "v_capabilities": f"SELECT * FROM (VALUES {', '.join(f'({lit(c[0])}, {c[1]}, {c[2]}, {c[5]}::DOUBLE, {c[6]}::DOUBLE, {c[7]})' for c in CAPABILITIES)}) k(provider, streaming, word_timing, speed_min, speed_max, max_chars)",
+    "v_diagnostics": f"""WITH {LINES}, pg AS (SELECT document_id, page_number, sum(length(text)) < 200 AS scanned, count(*) FILTER (length(text) > 20) AS pieces FROM lines GROUP BY ALL)
+SELECT document_id, count(*) AS pages_read, count(*) FILTER (scanned) AS scanned, count(*) FILTER (page_number % 3 = 0) AS failed, CAST(sum(pieces) AS BIGINT) AS text_pieces FROM pg GROUP BY document_id""",
+    "s_latest": """SELECT user_id || '|' || event_type AS key, arg_max(value, (event_id * 37 % 1009, event_id)) AS value, arg_max(event_id, (event_id * 37 % 1009, event_id)) AS event_id FROM events GROUP BY ALL""",
+    "s_usage": f"""WITH {QUEUE}, o AS (SELECT document_id, max(length(text)) AS m FROM queue GROUP BY ALL ORDER BY m DESC, document_id LIMIT 10)
+SELECT 'used' AS what, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n, count(*) AS entries FROM queue UNION ALL SELECT 'recent ' || document_id, CAST(m AS BIGINT), 1 FROM o""",
+    "st_expired": "SELECT CAST(user_id AS VARCHAR) AS client, event_id AS seq FROM events WHERE 300000.0 - event_id * 60.0 > 86400.0",
+    "g_sentence_boxes": f"""WITH {BOXES}, placed AS (SELECT document_id, source_index // 8 AS s, x, y + source_index % 3 * 0.1::DOUBLE AS y FROM items WHERE source_index < 40),
+by_level AS (SELECT document_id, s, floor(y * 2 + 0.5) / 2 AS level, min(x) AS x, min(y) AS y, max(x + 30) AS r FROM placed GROUP BY ALL)
+SELECT document_id, CAST(s AS INTEGER) AS sentence_index, CAST(row_number() OVER (PARTITION BY document_id, s ORDER BY level DESC) - 1 AS INTEGER) AS nth, round(x, 6) AS x, round(y, 6) AS y, round(r - x, 6) AS width, 10.0::DOUBLE AS height FROM by_level""",
+}
