@@ -116,6 +116,23 @@ def retained(urls: DataFrame, most: int = 12) -> DataFrame:
     return urls.withColumn("kept", rank <= most)
 
 
+def attempts(results: DataFrame, most: int = 3) -> DataFrame:
+    """Answers of a speech provider (chunk, seq, ok) with attempt (from 1), made (none follow a success or the
+    last of `most`) and the chunk's status after it: ready, failed (to be tried again) or given-up."""
+    order = Window.partitionBy("chunk").orderBy("seq")
+    before = F.coalesce(F.max(F.when(F.col("attempt") <= most, F.col("ok").cast("int"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    out = results.withColumn("attempt", F.row_number().over(order)).withColumn("_before", before)
+    made = ~F.col("_before") & (F.col("attempt") <= most)
+    status = F.when(F.col("_before") | (made & F.col("ok")), "ready").when(F.col("attempt") < most, "failed").otherwise("given-up")
+    return out.withColumns({"made": made, "status": status}).drop("_before")
+
+
+def prefetch(positions: DataFrame, made: DataFrame, ahead: int = 2) -> DataFrame:
+    """Chunks to synthesise at each position (document_id, at): that one and `ahead` more, as far as there are."""
+    wanted = positions.select(_DOC, "at", F.explode(F.sequence(F.col("at"), F.col("at") + ahead)).alias("chunk_index"))
+    return wanted.join(made.select(_DOC, "chunk_index"), [_DOC, "chunk_index"])
+
+
 def with_cache(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests with their cached audio, null for misses, and `cached`."""
     c = cache.select(F.col("cache_key").alias("_k"), "audio")

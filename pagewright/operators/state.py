@@ -157,6 +157,25 @@ def remap(positions: DataFrame, previous: DataFrame, following: DataFrame) -> Da
     return p.where(found).select(d, "sentence_id", index.alias("index"), exact.isNotNull().alias("exact"))
 
 
+def held_queues(events: DataFrame) -> DataFrame:
+    """Events (session, seq, state, version: the queue that arrives with the event, else null) with `active`
+    and `pending` queue versions. A queue that arrives during playback is held, the latest only, and taken up
+    at the next event that leaves the player neither playing nor buffering. Two running last values."""
+    upto = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    busy = F.coalesce(F.col("state").isin("playing", "buffering"), F.lit(False))
+    latest = events.withColumn("_latest", F.last("version", ignorenulls=True).over(upto))
+    taken = latest.withColumn("active", F.last(F.when(~busy, F.col("_latest")), ignorenulls=True).over(upto))
+    return taken.withColumn("pending", F.when(~F.col("_latest").eqNullSafe(F.col("active")), F.col("_latest"))).drop("_latest")
+
+
+def continue_after(remapped: DataFrame, following: DataFrame) -> DataFrame:
+    """Where reading goes on in a rebuilt queue (`remap`): after the sentence itself, or at the one that stands
+    in for it; null at the end."""
+    at = following.select(F.col("document_id").alias("_d"), F.col("position").alias("_p"), F.col("id").alias("next_id"))
+    r = remapped.withColumn("_target", F.when(F.col("exact"), F.col("index") + 1).otherwise(F.col("index")))
+    return r.join(at, (F.col("document_id") == F.col("_d")) & (F.col("_target") == F.col("_p")), "left").drop("_d", "_p", "_target")
+
+
 def milestones(n_pages: Column) -> Column:
     """Page counts at which a provisional pass is made: 1, 2, 4, ... below the number of pages."""
     top = F.ceil(F.log2(F.greatest(n_pages, F.lit(1)))).cast("int")

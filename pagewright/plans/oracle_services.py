@@ -303,3 +303,17 @@ SELECT 'used' AS what, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n, cou
 by_level AS (SELECT document_id, s, floor(y * 2 + 0.5) / 2 AS level, min(x) AS x, min(y) AS y, max(x + 30) AS r FROM placed GROUP BY ALL)
 SELECT document_id, CAST(s AS INTEGER) AS sentence_index, CAST(row_number() OVER (PARTITION BY document_id, s ORDER BY level DESC) - 1 AS INTEGER) AS nth, round(x, 6) AS x, round(y, 6) AS y, round(r - x, 6) AS width, 10.0::DOUBLE AS height FROM by_level""",
 }
+
+_PLAYED = SQL["st_playback"].rsplit("\nSELECT ", 1)[0]
+SQL |= {
+    "st_held_queue": f"""{_PLAYED}, g AS (SELECT session, seq, state, CASE WHEN seq % 11 = 0 THEN seq END AS version FROM f WHERE n > 0),
+calm AS (SELECT *, max(CASE WHEN state NOT IN ('playing', 'buffering') THEN seq END) OVER w AS calm, max(version) OVER w AS latest FROM g WINDOW w AS (PARTITION BY session ORDER BY seq)),
+taken AS (SELECT c.session, c.seq, c.state, c.version, c.latest, max(g.version) AS active FROM calm c LEFT JOIN g ON g.session = c.session AND g.version <= c.calm GROUP BY ALL)
+SELECT session, seq, state, version, active, CASE WHEN latest IS DISTINCT FROM active THEN latest END AS pending FROM taken""",
+    "st_continue": f"""WITH r AS ({SQL["st_remap"]}), q AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, CASE WHEN (turn // 2 + 1) % 2 = 0 THEN 'old:' ELSE '' END || conv_id || ':' || turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations WHERE role IS DISTINCT FROM 'user')
+SELECT r.document_id, sentence_id, q.id AS next_id FROM r LEFT JOIN q ON q.document_id = r.document_id AND q.place = r."index" + CAST(exact AS INTEGER)""",
+    "k_attempts": """WITH n AS (SELECT user_id || '|' || event_type AS chunk, event_id AS seq, event_id % 4 = 0 AS ok, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS attempt FROM events),
+won AS (SELECT chunk, min(attempt) FILTER (ok AND attempt <= 3) AS won FROM n GROUP BY chunk)
+SELECT chunk, seq, ok, CAST(attempt AS INTEGER) AS attempt, attempt <= coalesce(won, 3) AS made, CASE WHEN attempt >= won THEN 'ready' WHEN attempt < 3 THEN 'failed' ELSE 'given-up' END AS status FROM n JOIN won USING (chunk)""",
+    "k_prefetch": f"""WITH c AS ({SQL["k_chunks"]}) SELECT a.document_id, a.chunk_index AS at, b.chunk_index FROM c a JOIN c b ON a.document_id = b.document_id AND a.chunk_index % 2 = 0 AND b.chunk_index BETWEEN a.chunk_index AND a.chunk_index + 2""",
+}

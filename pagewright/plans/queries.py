@@ -507,13 +507,18 @@ def st_milestones(spark, d):
     return state.provisional_pages(pages)
 
 
-@query
-def st_remap(spark, d):
+def _remapped(spark, d):
+    """Positions in a rebuilt queue, and that queue."""
     q = A.conv_queue(spark, d).withColumn("position", F.col("queue_index"))
     previous = q.select("document_id", F.concat(F.lit("old:"), "id").alias("id"), "page_number", "text", "document_index")
     following = q.where("region_type <> 'footnote'").withColumn("position", F.row_number().over(Window.partitionBy("document_id").orderBy("queue_index")) - 1)
     following = following.withColumn("id", F.when(F.col("page_number") % 2 == 0, F.concat(F.lit("old:"), "id")).otherwise(F.col("id")))
-    return state.remap(previous.select("document_id", F.col("id").alias("sentence_id")), previous, following)
+    return state.remap(previous.select("document_id", F.col("id").alias("sentence_id")), previous, following), following
+
+
+@query
+def st_remap(spark, d):
+    return _remapped(spark, d)[0]
 
 
 @query

@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..operators import inclusion, layout, ocr, sentences, state, timing, voices
+from ..operators import chunking, inclusion, layout, ocr, sentences, state, timing, voices
 from ..sources import fixtures, pdf, stores
 from . import adapters as A
-from .queries import QUERIES, _chunks, _overrides, _r, _voices, query
+from .queries import QUERIES, _chunks, _overrides, _r, _remapped, _voices, query
 
 __all__ = ["QUERIES"]
 
@@ -280,6 +280,34 @@ def v_diagnostics(spark, d):
     return voices.diagnostics(pages, failed, lines.where("length(text) > 20"))
 
 
+# --- players
+
+
+@query
+def st_held_queue(spark, d):
+    """Queues that arrive while a player runs, and when each is taken up."""
+    played = QUERIES["st_playback"](spark, d).select("session", "seq", "state")
+    return state.held_queues(played.withColumn("version", F.when(F.col("seq") % 11 == 0, F.col("seq"))))
+
+
+@query
+def st_continue(spark, d):
+    remapped, following = _remapped(spark, d)
+    return state.continue_after(remapped, following).select("document_id", "sentence_id", "next_id")
+
+
+@query
+def k_attempts(spark, d):
+    e = A.table(spark, d, "events")
+    return chunking.attempts(e.select(F.concat(F.col("user_id").cast("string"), F.lit("|"), "event_type").alias("chunk"), F.col("event_id").alias("seq"), (F.col("event_id") % 4 == 0).alias("ok")))
+
+
+@query
+def k_prefetch(spark, d):
+    made = chunking.chunks(A.conv_queue(spark, d), most=600)
+    return chunking.prefetch(made.where("chunk_index % 2 = 0").select("document_id", F.col("chunk_index").alias("at")), made)
+
+
 # --- stores
 
 
