@@ -595,7 +595,7 @@ def g_dedupe_items(spark, d):
 def g_lines(spark, d):
     items = _page_items(spark, d)
     pages = items.select("document_id", "page_number").distinct().select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
-    return layout.lines(items, pages).select("document_id", "page_number", "line_index", "text", "x", "baseline", "font_size")
+    return layout.lines(items, pages, parts=False).select("document_id", "page_number", "line_index", "text", "x", "baseline", "font_size")
 
 
 @query
