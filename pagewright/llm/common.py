@@ -61,13 +61,14 @@ def last_path() -> str:
 
 @contextmanager
 def collecting() -> Iterator[list[str]]:
-    """The paths that are stored meanwhile (in this thread), in order."""
+    """The paths that are stored meanwhile (in this thread), in order; whoever collects around it has them too."""
     made: list[str] = []
     before = _made.set(made)
     try:
         yield made
     finally:
         _made.reset(before)
+        _made.get().extend(made)
 
 
 def drop_paths(spark: SparkSession, paths: list[str]) -> None:
@@ -90,8 +91,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; one of fewer splits than there are cores is dealt out, so that all cores work on it."""
+    out, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if out.rdd.getNumPartitions() < cores else out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def crc_remainder(c: Column, mod: int) -> Column:

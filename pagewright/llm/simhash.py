@@ -551,15 +551,7 @@ def _cut(keyed: DataFrame, hubs: bool) -> DataFrame:
     return small.unionByName(dealt.select(*columns, "at.*"))
 
 
-def similar_classes(df: DataFrame, **options) -> DataFrame:
-    """What `_similar_classes` gives; of the tables written for it only the result's stays."""
-    with collecting() as made:
-        out = _similar_classes(df, **options)
-    drop_paths(df.sparkSession, made[:-1])
-    return out
-
-
-def _similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) for every document that has a near copy: classes
     of documents linked by a Jaccard similarity of `similarity` or more over distinct word shingles.
 
@@ -579,8 +571,16 @@ def _similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null ids take no part; rows that share an id are one document, similar to what any of its texts is
     similar to; texts with fewer words than a shingle have one shingle, all their words (none: the empty one).
     """
-    small_batches(df.sparkSession)
-    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with collecting() as made:
+        out = _classes(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shingle, similarity)
+    # of what was stored on the way only the result's table stays
+    drop_paths(df.sparkSession, made[:-1])
+    return out
+
+
+def _classes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """`similar_classes` of rows doc_id long, text string."""
+    small_batches(docs.sparkSession)
     most = int(FEW / similarity + 1e-9)
     marks = stored(docs.mapInArrow(_wide(shingle, most), "doc_id long, " + ", ".join(f"{w} long" for w in WORDS) + ", total long, n int, few array<long>"), "wide-fingerprints")
     alike = [*WORDS, "total", "n"]
