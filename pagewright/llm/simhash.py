@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import collecting, drop_paths, sliced, small_batches, stored
+from .common import collecting, drop_paths, may_hold, sliced, small_batches, stored
 from .graph import components
 
 #: Most rows of a group that one index holds.
@@ -231,8 +231,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Words of a wide fingerprint (64 bits each).
 WIDE = 4
-#: Fingerprints that an average bucket holds.
-BUCKET = 64
+#: Fingerprints that an average bucket holds, at most: each doubling compares more and saves a sixth of the tables.
+BUCKET = 256
 #: Texts of up to so many shingles meet over shingles they share: few hashes make fingerprints differ more.
 FEW = 24
 #: Share by which sets of more than FEW shingles differ in more bits at most than sets without end (1.03).
@@ -603,7 +603,8 @@ def _classes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
         return rows.mapInArrow(keys, "key long, t int, " + ", ".join(f"{c} {k}" for c, k in rows.dtypes))
 
     def shingles_of(ids: DataFrame) -> DataFrame:
-        own = docs.join(ids.select(F.col("doc_id").alias("e")).distinct(), F.col("doc_id") == F.col("e"), "left_semi")
+        ids = ids.select(F.col("doc_id").alias("x")).distinct()
+        own = may_hold(docs, F.col("doc_id"), ids).where("_may").drop("_may").join(ids, F.col("doc_id") == F.col("x"), "left_semi")
         return stored(own.mapInArrow(_sets(shingle), "d long, sum long, s array<long>").dropDuplicates(["d", "sum"]), "shingles")
 
     def search(rows: DataFrame, bits: np.ndarray, first: bool) -> DataFrame:
@@ -635,5 +636,7 @@ def _classes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`df` with the document of the least id of each class of near copies; others are kept as they are."""
-    gone = similar_classes(df, id_col=id_col, text_col=text_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, df[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = similar_classes(df, id_col=id_col, text_col=text_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("x"))
+    met = may_hold(df, F.col(id_col), gone)
+    unsure = met.where("_may").drop("_may")
+    return met.where("not _may").drop("_may").unionByName(unsure.join(gone, unsure[id_col].cast("long") == F.col("x"), "left_anti"))

@@ -122,3 +122,31 @@ def test_hashes_of_shingles():
     assert len(same) == len(shingles("one two three four five six one two three four five"))
     assert list(same) == sorted(same) and len(simhash.shingle_hashes("", 5)) == len(simhash.shingle_hashes("a b", 5)) == 1
     assert simhash.shingle_hashes("a b", 5)[0] != simhash.shingle_hashes("b a", 5)[0] != simhash.shingle_hashes(None, 5)[0]
+
+
+def test_texts_without_candidates_are_not_moved(spark):
+    """What the table of bits lets through holds all that a join with the ids would keep, and hardly more."""
+    rows = [(k, "x" * 50) for k in range(-500, 3000)] + [(None, "null id"), (7, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(k,) for k in [*range(0, 200), 7, -1, 10**12]], "x long")
+    got = simhash.may_hold(docs, docs["doc_id"], ids)
+    assert got.columns == ["doc_id", "text", "_may"] and got.count() == len(rows)
+    let = [r.doc_id for r in got.where("_may").collect()]
+    assert set(let) >= {-1, *range(200)} and let.count(7) == 2 and len(let) <= 202 + 5
+    assert simhash.may_hold(docs, docs["doc_id"], ids.limit(0)).where("_may").count() == 0
+
+
+def test_only_classes_give_up_rows(spark):
+    """Dropping near copies shuffles the rows that may go, and keeps null ids and further columns."""
+    rng = random.Random(3)
+    base = words_of(rng, 60)
+    rows = [(5, edited(base, [30], "a"), "a"), (9, " ".join(base), "b"), (None, " ".join(base), "c"), (9, "something else", "d")] + [(100 + k, " ".join(words_of(rng, 60)), "e") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash.drop_near_copies(df)
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.doc_id or 0, r.more) for r in out.collect()) == sorted((i or 0, m) for i, _, m in rows if i != 9)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
