@@ -1,12 +1,14 @@
 """HTML extraction with a suffix array over the pages of a host (operator 5).
 
 Pages are parsed into blocks: a text, its words and its slot (the path of elements it stands in). The
-token streams of a host's pages, slot marks included, are one long stream, and its suffixes are brought
-into order over the whole cluster: suffixes that agree in DEPTH tokens meet, and if they come from
-distinct pages they are repeated text. The array is sparse: of every STEP neighbouring suffixes at least
-one takes part, chosen by content, so that equal runs choose equal places. Order among suffixes that
-differ tells nothing here, so they meet by a 64-bit hash of their first DEPTH tokens. A whole block is
-a suffix of its own.
+token streams of a host's pages, slot marks included, are one long stream, whose suffixes are sorted (prefix
+doubling); each has the length that it shares with its neighbour. An interval of neighbours that share DEPTH
+tokens or more is a run of text that the pages in it repeat. Every suffix of every page takes part. A whole
+block is a suffix of its own.
+
+A host of many pages is cut into parts by the pages' content, each sorted by itself. What is on a share of
+the host's pages is on that share of some part's pages, so the parts give all candidates; these are then
+counted over the whole host, exactly.
 
 Covered text goes: a block most of which lies in runs seen on many pages of the host, and a block in a
 slot most of whose text is repeated. Unique runs stay, and so do runs that few pages share.
@@ -15,7 +17,7 @@ What a page itself declares is exact evidence: elements such as nav, footer, asi
 classes, ids and roles that name menus, notices, adverts or comments, never hold main text, whatever is
 unique in them; and if a page has article elements (else main, else a container named as content), its
 main text is what they hold, passages that few pages share included, but for blocks that most pages of
-the host have in the same slot. A page that declares nothing is decided by the suffix array alone.
+the host have in the same slot, or that runs on most pages nearly fill. A page that declares nothing is decided by the suffix array alone.
 
 Evidence is counted over all pages of a host and joined back page by page, so no task holds a host and
 results do not depend on how pages are partitioned.
@@ -45,13 +47,17 @@ from .common import sliced, small_batches, stored
 
 #: Tokens that a repeated run has at least.
 DEPTH = 8
-#: Of so many neighbouring suffixes at least one is in the array.
-STEP = 8
+#: Pages, and characters of markup, of a host that one array holds.
+PART_PAGES, PART_CHARS = 1024, 1 << 24
+#: Bytes of token streams that are sorted together, whole hosts or parts of them.
+TOGETHER = 1 << 21
 #: Share of a slot's text that is repeated, above which the slot is boilerplate; a block counts as repeated
 #: on this share of the host's pages, or two.
 SLOT, SEVERAL = 0.5, 0.05
 #: Share of a block that runs seen on this share of the host's pages, or two, must cover.
 COVERED, PAGES = 0.6, 0.3
+#: Share of a block in a declared container that runs on most of the host's pages must cover.
+NEARLY = 0.8
 #: Share of the host's pages, and least number, that hold a block which goes inside declared containers too.
 USUAL, LEAST = 0.5, 4
 
@@ -290,44 +296,91 @@ def block_marks(own: list[Block]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.text, b.slot) | 1 for b in own], np.uint64).view(np.int64)
 
 
-def suffixes(own: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and marks (hashes of DEPTH tokens, even) of the sparse array's suffixes in the stream of the
-    blocks, and where each block starts and ends in it."""
+def stream(own: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens (32-bit hashes) of the blocks, each after its slot's mark, and where each block starts and ends."""
     known: dict[str, int] = {}
-    stream, ends = [], [0]
+    out, ends = [], [0]
     for b in own:
-        stream.append(b.slot)
+        out.append(b.slot & 0xFFFFFFFF)
         for w in b.text.split():
             h = known.get(w)
             if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            stream.append(h)
-        ends.append(len(stream))
-    tokens = np.array(stream, np.uint64)
-    n = len(tokens) - DEPTH + 1
-    if n <= 0:
-        return np.zeros(0, int), np.zeros(0, np.int64), np.array(ends)
+                h = known[w] = xxhash.xxh32_intdigest(w)
+            out.append(h)
+        ends.append(len(out))
+    return np.array(out, np.uint32), np.array(ends)
+
+
+def suffix_marks(tokens: np.ndarray) -> np.ndarray:
+    """A name for the first DEPTH tokens of each suffix that has so many: an even hash."""
+    n = max(0, len(tokens) - DEPTH + 1)
     marks = np.zeros(n, np.uint64)
     for k in range(DEPTH):
-        marks = marks * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
-    marks ^= marks >> np.uint64(31)
-    marks *= np.uint64(0xBF58476D1CE4E5B9)
-    marks ^= marks >> np.uint64(29)
-    windows = np.lib.stride_tricks.sliding_window_view(marks, min(STEP, n))
-    at = np.unique(np.arange(len(windows)) + windows.argmin(1))
-    return at, (marks[at] & ~np.uint64(1)).view(np.int64), np.array(ends)
-
-
-def covered(at: np.ndarray, hot: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Share of each block that lies in runs from the places at[hot]; of two of these that are near enough to
-    be parts of one run, all between."""
-    at = at[hot]
-    if not len(at):
-        return np.zeros(len(ends) - 1)
-    reach = np.r_[np.where(np.diff(at) <= DEPTH + STEP, np.diff(at), DEPTH), DEPTH]
-    change = np.zeros(ends[-1] + DEPTH + STEP + 1, int)
+        marks = (marks + tokens[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        marks ^= marks >> np.uint64(29)
+    return (marks & ~np.uint64(1)).view(np.int64)
+
+
+def suffix_array(symbols: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes symbols[i:stops[i]] in order, by prefix doubling, and how many symbols each shares with the
+    one before. Only suffixes that are not told apart yet are sorted again."""
+    n = len(symbols)
+    if not n:
+        return np.zeros(0, int), np.zeros(0, int)
+    order, place = np.argsort(symbols, kind="stable"), np.arange(n)
+    new = np.r_[True, np.diff(symbols[order]) != 0]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    levels, k, longest = [rank.astype(np.int32)], 1, int((stops - place).max())
+    while k < longest:
+        head = np.flatnonzero(new)
+        size = np.diff(np.r_[head, n])
+        at = np.flatnonzero(np.repeat(size > 1, size))
+        if not len(at):
+            break
+        own = order[at]
+        second = np.where(own + k < stops[own], rank[np.minimum(own + k, n - 1)] + 1, 0)
+        key = rank[own] * (n + 1) + second
+        by = np.argsort(key, kind="stable")
+        order[at], key = own[by], key[by]
+        new[at[1:]] |= key[1:] != key[:-1]
+        rank[order[at]] = np.maximum.accumulate(np.where(new, place, 0))[at]
+        levels.append(rank.astype(np.int32))
+        k *= 2
+    a, b = order[:-1], order[1:]
+    most, shared = np.minimum(stops[a] - a, stops[b] - b), np.zeros(n - 1, np.int64)
+    for level in reversed(range(len(levels))):
+        same = levels[level][np.minimum(a + shared, n - 1)] == levels[level][np.minimum(b + shared, n - 1)]
+        shared += (same & (shared + (1 << level) <= most)) << level
+    return order, np.r_[0, shared]
+
+
+def holders(streams: list[np.ndarray], host: np.ndarray) -> list[np.ndarray]:
+    """For each suffix of each page: how many pages of its host (by number) hold its first DEPTH tokens, by the
+    intervals of the suffix array whose neighbours share so many."""
+    size = np.array([len(t) for t in streams], int)
+    page, stops = np.repeat(np.arange(len(size)), size), np.repeat(np.cumsum(size), size)
+    flat = np.concatenate([*streams, np.zeros(0, np.uint32)]).astype(np.int64) + (host[page].astype(np.int64) << 32)
+    order, shared = suffix_array(flat, stops)
+    interval = np.cumsum(shared < DEPTH) - 1
+    each = np.unique(interval * max(1, len(size)) + page[order]) // max(1, len(size))
+    count = np.zeros(len(flat), int)
+    count[order] = np.bincount(each, minlength=1)[interval]
+    return np.split(count, np.cumsum(size)[:-1]) if len(size) else []
+
+
+def run_marks(tokens: np.ndarray, held: np.ndarray, need: float) -> set[int]:
+    """Marks of a page's suffixes that `need` pages hold or more."""
+    marks = suffix_marks(tokens)
+    return set(marks[held[: len(marks)] >= need].tolist())
+
+
+def covered(marks: np.ndarray, hot: set[int], ends: np.ndarray) -> np.ndarray:
+    """Share of each block that lies in runs whose marks are `hot`."""
+    at = np.flatnonzero(np.array([m in hot for m in marks.tolist()], bool))
+    change = np.zeros(ends[-1] + 1, int)
     np.add.at(change, at, 1)
-    np.add.at(change, at + reach, -1)
+    np.add.at(change, at + DEPTH, -1)
     inside = np.r_[0, np.cumsum(np.cumsum(change)[: ends[-1]] > 0)]
     return np.diff(inside[ends]) / np.diff(ends)
 
@@ -339,10 +392,12 @@ def decide(parsed: list[Block], usual: set[int], often: set[int], slots: set[int
     own = [parsed[k] for k in at]
     if declared:
         if usual:
-            own = [b for b, m in zip(own, block_marks(own).tolist()) if m not in usual]
+            tokens, ends = stream(own)
+            share = covered(suffix_marks(tokens), usual, ends)
+            own = [b for b, m, c in zip(own, block_marks(own).tolist(), share) if m not in usual and c < NEARLY]
     elif own and (often or slots):
-        place, marks, ends = suffixes(own)
-        share = covered(place, np.array([m in often for m in marks.tolist()], bool), ends)
+        tokens, ends = stream(own)
+        share = covered(suffix_marks(tokens), often, ends)
         whole = block_marks(own).tolist()
         own = [b for b, m, c in zip(own, whole, share) if m not in often and c < COVERED and _signed(b.slot) not in slots]
     return "\n".join(b.text for b in own)
@@ -352,31 +407,36 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def evidence(html: str | None, markup: bool = True) -> Iterator[tuple[int, int, int, bool]]:
-    """mark, slot, tokens, declared: one for the page itself (mark 0), each block and each run."""
-    parsed = blocks(html)
-    declared, at = candidates(parsed, markup)
-    own = [parsed[k] for k in at]
+def evidence(own: list[Block], declared: bool) -> Iterator[tuple[int, int, int, bool]]:
+    """mark, slot, tokens, declared: one for the page itself (mark 0) and each block among its candidates."""
     yield 0, 0, 0, declared
     seen = set()
     for b, m in zip(own, block_marks(own).tolist()):
         if m not in seen:
             seen.add(m)
             yield m, _signed(b.slot), len(b.text.split()), declared
-    if not declared:
-        for m in set(suffixes(own)[1].tolist()):
-            yield m, 0, 0, declared
+
+
+def _candidates(html: str | None, markup: bool = True) -> tuple[bool, list[Block]]:
+    parsed = blocks(html)
+    declared, at = candidates(parsed, markup)
+    return declared, [parsed[k] for k in at]
 
 
 def texts(pages: list[str | None], markup: bool = True) -> list[str]:
     """Main texts of the pages of one host, in memory; without `markup` by the suffix array alone."""
-    own = {p or "": list(evidence(p, markup)) for p in pages}
-    held, total = Counter(m for rows in own.values() for m, *_ in rows), len(own)
-    usual = {m for m, n in held.items() if m & 1 and n >= max(LEAST, USUAL * total)}
+    parsed = {p or "": _candidates(p, markup) for p in pages}
+    total = len(parsed)
+    streams = [stream(own)[0] for _, own in parsed.values()]
+    rows = [list(evidence(own, declared)) for declared, own in parsed.values()]
+    for own, tokens, held in zip(rows, streams, holders(streams, np.zeros(total, int))):
+        own += [(m, 0, 0, own[0][3]) for m in run_marks(tokens, held, max(2, PAGES * total))]
+    held = Counter(m for own in rows for m, *_ in own)
+    usual = {m for m, n in held.items() if m and n >= max(LEAST, USUAL * total)}
     often = {m for m, n in held.items() if m and n >= max(2, PAGES * total)}
     whole, again = Counter(), Counter()
-    for rows in own.values():
-        for m, slot, tokens, declared in rows:
+    for own in rows:
+        for m, slot, tokens, declared in own:
             if m & 1 and not declared:
                 whole[slot] += tokens
                 again[slot] += tokens * (held[m] >= max(2, SEVERAL * total))
@@ -387,17 +447,73 @@ def texts(pages: list[str | None], markup: bool = True) -> list[str]:
 _OUT = "page_id long, url string, text string, n_chars long"
 
 
-def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_STREAMS = "host long, part long, large boolean, page long, declared boolean, stream binary, mark array<long>, slot array<long>, tokens array<int>"
+_EVIDENCE = "host long, page long, mark long, slot long, tokens int, declared boolean"
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a page: its token stream and the evidence of its blocks. Copies of a page that a task has seen
+    lately are left out here, so that a page of very many copies is not sent as often."""
+    seen: set[tuple[int, int]] = set()
     for b in sliced(batches, 500):
-        row, columns = [], ([], [], [], [])
-        for k, h in enumerate(b.column("html")):
-            got = list(evidence(h.as_py()))
-            row += [k] * len(got)
-            for own, x in zip(columns, zip(*got)):
-                own += x
-        kept = [b.column(c).take(pa.array(row, pa.int64())) for c in ("host", "page")]
-        mark, slot, tokens, declared = columns
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(mark, pa.int64()), pa.array(slot, pa.int64()), pa.array(tokens, pa.int32()), pa.array(declared, pa.bool_())], names=["host", "page", "mark", "slot", "tokens", "declared"])
+        at, rows = [], []
+        for k, key in enumerate(zip(b.column("host").to_pylist(), b.column("page").to_pylist())):
+            if key in seen:
+                continue
+            seen.add(key)
+            declared, own = _candidates(b.column("html")[k].as_py())
+            mark, slot, tokens, _ = zip(*evidence(own, declared))
+            at.append(k)
+            rows.append((declared, stream(own)[0].tobytes(), mark, slot, tokens))
+        if len(seen) > 1 << 18:
+            seen.clear()
+        types = [pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+        kept = [b.column(c).take(pa.array(at, pa.int64())) for c in ("host", "part", "large", "page")]
+        yield pa.RecordBatch.from_arrays([*kept, *made], names=["host", "part", "large", "page", "declared", "stream", "mark", "slot", "tokens"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Evidence of whole hosts, and of parts of large ones, from rows sorted by host, part and page: of pages
+    and blocks, and of the runs that enough pages hold; of a part's runs only the marks, with a null page."""
+
+    def found(rows: list[dict]) -> pa.RecordBatch:
+        groups = [(r["host"], r["part"]) for r in rows]
+        number = {g: k for k, g in enumerate(dict.fromkeys(groups))}
+        total, out, marks = Counter(groups), [], set()
+        streams = [np.frombuffer(r["stream"], np.uint32) for r in rows]
+        for r, g, tokens, held in zip(rows, groups, streams, holders(streams, np.array([number[g] for g in groups]))):
+            out += [(r["host"], r["page"], m, s, t, r["declared"]) for m, s, t in zip(r["mark"], r["slot"], r["tokens"])]
+            if r["large"]:
+                marks |= {(r["host"], m) for m in run_marks(tokens, held, PAGES * total[g] * (1 - 1e-9))}
+            else:
+                out += [(r["host"], r["page"], m, 0, 0, r["declared"]) for m in run_marks(tokens, held, max(2, PAGES * total[g]))]
+        out += [(h, None, m, 0, 0, False) for h, m in marks]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["host", "page", "mark", "slot", "tokens", "declared"])
+
+    rows, size = [], 0
+    for b in sliced(batches, 100):
+        for r in b.to_pylist():
+            if rows and all(r[c] == rows[-1][c] for c in ("host", "part", "page")):
+                continue
+            if size > TOGETHER and (r["host"], r["part"]) != (rows[-1]["host"], rows[-1]["part"]):
+                yield found(rows)
+                rows, size = [], 0
+            rows.append(r)
+            size += len(r["stream"])
+    if rows:
+        yield found(rows)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marks of all suffixes of pages."""
+    for b in sliced(batches, 100):
+        got = [(declared, np.unique(suffix_marks(stream(own)[0]))) for declared, own in (_candidates(h.as_py()) for h in b.column("html"))]
+        size = [len(m) for _, m in got]
+        row = pa.array(np.repeat(np.arange(len(got)), size))
+        kept = [b.column(c).take(row) for c in ("host", "page")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate([m for _, m in got])), pa.array(np.repeat([d for d, _ in got], size))], names=["host", "page", "mark", "declared"])
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,16 +529,24 @@ def extract(df: DataFrame) -> DataFrame:
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     html = F.coalesce("html", F.lit(""))
     pages = df.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.xxhash64(name).alias("host"), F.xxhash64(html).alias("page"))
-    found = pages.select("host", "page", "html").mapInArrow(_evidence, "host long, page long, mark long, slot long, tokens int, declared boolean")
-    found = stored(found, "page-evidence")
-    once = found.groupBy("host", "mark", "page").agg(F.max("slot").alias("slot"), F.max("tokens").alias("tokens"), F.max(~F.col("declared")).alias("free"))
-    marks = once.groupBy("host", "mark").agg(F.count("*").alias("pages"), F.max("slot").alias("slot"), F.max("tokens").alias("tokens"), F.count_if("free").alias("free"))
+    parts = F.ceil(F.greatest(F.count("*") / PART_PAGES, F.sum(F.length("html")) / PART_CHARS))
+    # one row for each PART_PAGES pages or PART_CHARS characters at most
+    large = stored(pages.groupBy(F.col("host").alias("l_host")).agg(parts.alias("parts")).where("parts > 1"), "large-hosts")
+    cut = pages.join(F.broadcast(large), F.col("host") == F.col("l_host"), "left").select("host", F.expr("pmod(page, coalesce(parts, 1))").alias("part"), F.col("parts").isNotNull().alias("large"), "page", "html")
+    streams = cut.mapInArrow(_streams, _STREAMS).repartition("host", "part").sortWithinPartitions("host", "part", "page")
+    found = stored(streams.mapInArrow(_runs, _EVIDENCE), "page-evidence")
+    if not large.isEmpty():
+        runs = found.where("page is null").select(F.col("host").alias("c_host"), F.col("mark").alias("c_mark")).distinct()
+        held = cut.where("large").select("host", "page", "html").mapInArrow(_places, "host long, page long, mark long, declared boolean")
+        held = held.join(stored(runs, "page-candidates"), (F.col("host") == F.col("c_host")) & (F.col("mark") == F.col("c_mark"))).select("host", "page", "mark", F.lit(0).cast("long").alias("slot"), F.lit(0).alias("tokens"), "declared")
+        found = found.where("page is not null").unionByName(stored(held.distinct(), "page-runs"))
+    marks = found.groupBy("host", "mark").agg(F.count("*").alias("pages"), F.max("slot").alias("slot"), F.max("tokens").alias("tokens"), F.count_if(~F.col("declared")).alias("free"))
     marks = stored(marks, "page-marks")
     total = marks.where("mark = 0").select(F.col("host").alias("h"), F.col("pages").alias("total"))
     held = marks.where("mark <> 0").join(total, F.col("host") == F.col("h"))
     least = lambda few, share: F.col("pages") >= F.greatest(F.lit(few), F.col("total") * share)
-    # a mark tells on pages that declare (blocks only), or on those that do not
-    usual, often = (F.col("mark").bitwiseAND(F.lit(1)) == 1) & least(LEAST, USUAL), (F.col("free") > 0) & least(2, PAGES)
+    # a mark tells on pages that declare, or on those that do not
+    usual, often = least(LEAST, USUAL), (F.col("free") > 0) & least(2, PAGES)
     text = F.col("tokens") * F.col("free")
     again = F.sum(F.when(least(2, SEVERAL), text).otherwise(0)) >= SLOT * F.sum(text)
     slots = held.where("free > 0 and mark & 1 = 1").groupBy("host", "slot").agg(again.alias("again")).where("again").select(F.col("host").alias("t_host"), F.col("slot").alias("t_slot"))

@@ -1,6 +1,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
 from pagewright.llm import html_text
@@ -85,3 +86,42 @@ def test_a_host_over_many_partitions(spark, declared):
 
 def test_an_empty_table(spark):
     assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_suffix_array_against_brute_force():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 9, 60, 300):
+        pages = [[rng.randrange(3) for _ in range(rng.randrange(n + 1))] for _ in range(5)] + [[1] * n, [1] * n]
+        flat = [x for p in pages for x in p]
+        stops = [sum(map(len, pages[: k + 1])) for k, p in enumerate(pages) for _ in p]
+        order, shared = html_text.suffix_array(np.array(flat, np.int64), np.array(stops, int))
+        own = [flat[i : stops[i]] for i in order]
+        assert sorted(order) == list(range(len(flat))) and own == sorted(own)
+        for k in range(1, len(own)):
+            assert shared[k] == next((m for m, (x, y) in enumerate(zip(own[k - 1], own[k])) if x != y), min(len(own[k - 1]), len(own[k])))
+        streams = [np.array(p, np.uint32) for p in pages]
+        for p, held in zip(pages, html_text.holders(streams, np.zeros(len(pages), int))):
+            runs = [tuple(p[k : k + 8]) for k in range(len(p) - 7)]
+            has = [{tuple(q[k : k + 8]) for k in range(len(q) - 7)} for q in pages]
+            assert held[: len(runs)].tolist() == [sum(r in h for h in has) for r in runs]
+
+
+NOTICE = "<p>all of this is owned by the makers of this site and nobody may copy any of it since {0}</p>"
+
+
+def test_runs_of_most_pages_go_inside_articles():
+    pages = [f"<article><p>Text {k} of its own, by x{k}, about y{k}.</p>{NOTICE.format(k)}</article>" for k in range(6)]
+    assert html_text.texts(pages) == [f"Text {k} of its own, by x{k}, about y{k}." for k in range(6)]
+    assert all("owned" in t for t in html_text.texts(pages[:3]))
+
+
+@pytest.mark.parametrize("declared", [True, False])
+def test_a_large_host_in_parts(spark, monkeypatch, declared):
+    rng = random.Random(9)
+    pages = [p + (f"<article>{NOTICE.format(k)}</article>" if declared else "") for k, (p, _) in enumerate(host(rng, 150, declared))]
+    want = html_text.texts(pages)
+    monkeypatch.setattr(html_text, "PART_PAGES", 20)
+    rows = [(k, f"https://a.example/{k}", p, "h") for k, p in enumerate(pages)] + [(k, "https://a.example/again", pages[0], "h") for k in range(900, 1000)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES).repartition(7)).collect()}
+    assert [got[k] for k in range(len(pages))] == want and {got[k] for k in range(900, 1000)} == {want[0]}
+    assert not any("owned" in t for t in want)
