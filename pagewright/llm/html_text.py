@@ -327,7 +327,7 @@ def suffix_array(symbols: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np
     n = len(symbols)
     if not n:
         return np.zeros(0, int), np.zeros(0, int)
-    order, place = np.argsort(symbols, kind="stable"), np.arange(n)
+    order, place = np.argsort(symbols), np.arange(n)
     new = np.r_[True, np.diff(symbols[order]) != 0]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, place, 0))
@@ -341,7 +341,7 @@ def suffix_array(symbols: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np
         own = order[at]
         second = np.where(own + k < stops[own], rank[np.minimum(own + k, n - 1)] + 1, 0)
         key = rank[own] * (n + 1) + second
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[at], key = own[by], key[by]
         new[at[1:]] |= key[1:] != key[:-1]
         rank[order[at]] = np.maximum.accumulate(np.where(new, place, 0))[at]
