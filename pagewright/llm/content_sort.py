@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WS, small_batches, stored
+from .common import WS, map_in_arrow, small_batches, stored
 
 #: Characters of content in a splitter.
 PREFIX = 32
@@ -109,7 +109,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm")).select("doc_id", "norm", F.sha2("norm", 256).alias("sha"), F.substring("norm", 1, PREFIX).alias("prefix"))
     by_id = F.col("doc_id").asc_nulls_last()
     ranged = keyed.repartitionByRange("prefix", "sha", by_id).sortWithinPartitions("norm", by_id).select("doc_id", "norm", "sha")
-    local = stored(ranged.mapInArrow(_neighbours, _LOCAL), "content-sort")
+    local = stored(map_in_arrow(ranged, _neighbours, _LOCAL), "content-sort")
     edges = local.where("edge_text is not null").groupBy("edge_text").agg(F.min("keep_id").alias("edge_keep"), F.sum("group_size").alias("edge_size"), F.first("text_sha256").alias("edge_sha"))
     edges = edges.select("edge_sha", "edge_keep", "edge_size")
     # at most two rows for each range of the sort, whatever its size

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, stored
+from .common import WORD, map_in_arrow, stored
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -75,7 +75,7 @@ def schedule(df: DataFrame, plan: list[tuple[int, int, int]], block: int) -> Dat
     quota = np.array([q for _, _, q in plan], float)
     bounds = np.cumsum(quota)[:-1] / max(1.0, quota.sum())
     slots = sum(n for _, n, _ in plan)
-    dealt = spark.range(slots).select(F.col("id").alias("t")).mapInArrow(_deal(bounds), "t long, s int").withColumn("chunk", F.floor(F.col("t") / CHUNK))
+    dealt = map_in_arrow(spark.range(slots).select(F.col("id").alias("t")), _deal(bounds), "t long, s int").withColumn("chunk", F.floor(F.col("t") / CHUNK))
     earlier = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("s", "chunk").agg(F.count("*").alias("n")).select("s", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     own = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("t")) - 1

@@ -15,8 +15,11 @@ neighbouring symbols picks each word's next merge, the leftmost of equal ones. T
 which of the two applies. Characters without a piece become byte pieces, or the unknown piece in a
 model without them.
 
-Cases: null texts give no pieces and decode to the empty text; so do empty texts. Very long texts are
-bounded by their number of words, very long words by their length. With byte pieces decoding is the
+What a task holds at a time does not grow with the texts of a batch: rows go in slices of bounded text, a
+longer text is encoded and decoded portion by portion, and the arrays of a step have AT_ONCE characters.
+
+Cases: null texts give no pieces and decode to the empty text; so do empty texts. Very long words are
+bounded by their length. With byte pieces decoding is the
 exact inverse, a literal U+2581 included, which is encoded as bytes. Repeated rows give repeated
 results; an empty table gives none; further columns are kept by `encode` when named.
 """
@@ -26,13 +29,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, small_batches
+from .common import map_in_arrow, sliced, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -41,7 +45,9 @@ MARK = 0x10FFFF
 #: Words that a task keeps between batches.
 KEPT_WORDS = 200_000
 #: Characters of equal-length words that are encoded at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
+#: Bytes of text whose words are looked up together; of a longer text, PORTION // 8 words.
+PORTION = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,7 +74,7 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p, _, _ in own):
             raise ValueError("a piece crosses a word boundary")
         self.lines = all("\n" not in p or p == "\n" for p, _, _ in own)
-        self.cut = re.compile(" *[^ \n]+|\n| +" if self.lines else " *[^ ]+| +").findall
+        self.cut = re.compile(" *[^ \n]+|\n| +" if self.lines else " *[^ ]+| +")
         letters = np.zeros((len(own), self.longest), np.uint32)
         for k, (p, _, _) in enumerate(own):
             letters[k, : len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
@@ -224,7 +230,16 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes of little-endian 32-bit integers."""
-        cut = [self.cut((" " if self.prefix else "") + t) if t else [] for t in texts]
+        first = " " if self.prefix else ""
+        if sum(len(t) for t in texts if t) <= PORTION:
+            return self._looked_up([self.cut.findall(first + t) if t else [] for t in texts])
+        if len(texts) > 1:
+            return self.encode(texts[: len(texts) // 2]) + self.encode(texts[len(texts) // 2 :])
+        found = self.cut.finditer(first + texts[0])
+        return [b"".join(iter(lambda: self._looked_up([[m[0] for m in islice(found, PORTION // 8)]])[0], b""))]
+
+    def _looked_up(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of lists of words."""
         new = list({w for words in cut for w in words if w not in self.kept})
         fresh = self._segments(new)
         if len(self.kept) < KEPT_WORDS:
@@ -233,14 +248,16 @@ class Pieces:
         return [b"".join(map(fresh.__getitem__, words)) for words in cut]
 
     def decode(self, ids: bytes) -> str:
-        text = b"".join(map(self.table.__getitem__, np.frombuffer(ids, np.int32).tolist())).decode("utf-8", "replace")
+        whole, step = np.frombuffer(ids, np.int32), PORTION // 8
+        parts = (b"".join(map(self.table.__getitem__, whole[lo : lo + step].tolist())) for lo in range(0, len(whole), step))
+        text = b"".join(parts).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 def _codec(model: bytes, check: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model)
-        for b in sliced(batches, 500):
+        for b in sliced(batches, 500, PORTION):
             texts = b.column("text").to_pylist()
             coded = own.encode(texts)
             flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
@@ -266,4 +283,4 @@ def encode(df: DataFrame, keep: list[str], text_col: str = "text", model: str =
     keep = [k for k in keep if k not in ("text", "ids", "round_trip", "decoded_sha256")]
     given = df.select(*keep, F.col(text_col).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields)
-    return given.mapInArrow(_codec(data, check), f"{schema}, ids array<int>" + (", round_trip boolean, decoded_sha256 string" if check else ""))
+    return map_in_arrow(given, _codec(data, check), f"{schema}, ids array<int>" + (", round_trip boolean, decoded_sha256 string" if check else ""))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import collecting, drop_paths, may_hold, sliced, small_batches, stored
+from .common import collecting, drop_paths, map_in_arrow, may_hold, sliced, small_batches, stored
 from .graph import components
 
 #: Most rows of a group that one index holds.
@@ -65,7 +65,7 @@ def _fingerprints(shingle: int) -> Callable:
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return map_in_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _fingerprints(shingle), "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -197,7 +197,7 @@ def near_links(fps: DataFrame, radius: int, group: int = GROUP) -> DataFrame:
         large = stored(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("mask", "key"), "large-groups")
         none = large.isEmpty()
         small = keyed if none else keyed.join(large, ["mask", "key"], "left_anti")
-        links = small.repartition("mask", "key").select("mask", "key", "fp").mapInArrow(_search(radius), "a long, b long")
+        links = map_in_arrow(small.repartition("mask", "key").select("mask", "key", "fp"), _search(radius), "a long, b long")
         found = links if found is None else found.unionByName(links)
         if none:
             return found
@@ -530,7 +530,7 @@ def _cut(keyed: DataFrame, hubs: bool) -> DataFrame:
         dealt = stored(dealt, "large-rows")
         fields = ", ".join(f"m{k} long" for k in range(WIDE))
         most = dealt.where("own = 0").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), *WORDS)
-        most = stored(most.repartition("key").sortWithinPartitions("key").mapInArrow(_majority, f"k long, {fields}"), "majorities")
+        most = stored(map_in_arrow(most.repartition("key").sortWithinPartitions("key"), _majority, f"k long, {fields}"), "majorities")
         far = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"m{k}"))) for k, w in enumerate(WORDS)), F.lit(0))
         near = Window.partitionBy("key").orderBy("far", "doc_id", "total", "t")
         hub = dealt.join(most, dealt["key"] == most["k"]).withColumn("far", far).withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= HUBS)
@@ -582,7 +582,7 @@ def _classes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """`similar_classes` of rows doc_id long, text string."""
     small_batches(docs.sparkSession)
     most = int(FEW / similarity + 1e-9)
-    marks = stored(docs.mapInArrow(_wide(shingle, most), "doc_id long, " + ", ".join(f"{w} long" for w in WORDS) + ", total long, n int, few array<long>"), "wide-fingerprints")
+    marks = stored(map_in_arrow(docs, _wide(shingle, most), "doc_id long, " + ", ".join(f"{w} long" for w in WORDS) + ", total long, n int, few array<long>"), "wide-fingerprints")
     alike = [*WORDS, "total", "n"]
     reps = stored(marks.groupBy(*alike).agg(F.min("doc_id").alias("doc_id"), F.first("few").alias("few")), "distinct-sets")
     share = SPREAD * differing(similarity)
@@ -597,15 +597,15 @@ def _classes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     def met(keyed: DataFrame, radius: int, bits: np.ndarray, exact: bool) -> DataFrame:
         dealt = keyed.repartition(*CELL).sortWithinPartitions(*CELL)
-        return dealt.mapInArrow(_meet(radius, similarity, bits, exact), "a long, b long" if exact else ", ".join(f"{c} {k}" for c, k in dealt.dtypes))
+        return map_in_arrow(dealt, _meet(radius, similarity, bits, exact), "a long, b long" if exact else ", ".join(f"{c} {k}" for c, k in dealt.dtypes))
 
     def keyed(rows: DataFrame, keys: Callable) -> DataFrame:
-        return rows.mapInArrow(keys, "key long, t int, " + ", ".join(f"{c} {k}" for c, k in rows.dtypes))
+        return map_in_arrow(rows, keys, "key long, t int, " + ", ".join(f"{c} {k}" for c, k in rows.dtypes))
 
     def shingles_of(ids: DataFrame) -> DataFrame:
         ids = ids.select(F.col("doc_id").alias("x")).distinct()
         own = may_hold(docs, F.col("doc_id"), ids).where("_may").drop("_may").join(ids, F.col("doc_id") == F.col("x"), "left_semi")
-        return stored(own.mapInArrow(_sets(shingle), "d long, sum long, s array<long>").dropDuplicates(["d", "sum"]), "shingles")
+        return stored(map_in_arrow(own, _sets(shingle), "d long, sum long, s array<long>").dropDuplicates(["d", "sum"]), "shingles")
 
     def search(rows: DataFrame, bits: np.ndarray, first: bool) -> DataFrame:
         """Links between rows of different labels; not all of them if it is the `first` search."""
